@@ -8,25 +8,22 @@ import unicodedata
 from dataclasses import dataclass
 
 import regex
+from tokenizers.pre_tokenizers import ByteLevel
 
 # The pattern by which byte-level BPE splits texts into words, and the byte alphabet of its vocabulary file.
 # White space is spelled out, as the class \s of the regex module differs from that of the tokenizers library.
 SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+_LIBRARY = ByteLevel(add_prefix_space=False, use_regex=True)
 
 
 def words(text: str) -> list[str]:
-    """The words of a text. Code points newer than Python's Unicode tables are neither letters nor numbers, as in the library."""
+    """The words of a text. With code points newer than Python's Unicode tables, the library itself splits it."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        newer = [c for c in set(text) if unicodedata.category(c) == "Cn"]
-        if newer:
-            at, out = 0, []
-            for word in WORDS.findall(text.translate({ord(c): "\u0378" for c in newer})):
-                out.append(text[at : at + len(word)])
-                at += len(word)
-            return out
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return [text[a:b] for _, (a, b) in _LIBRARY.pre_tokenize_str(text)]
     return WORDS.findall(text)
 
 

@@ -10,6 +10,7 @@ them) costs more shuffle than the texts have bytes.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm import bpe
 from tessera.llm.common import id_and_text, slices
@@ -25,31 +27,44 @@ _TABLES: dict[int, WordTable] = {}
 
 
 class WordTable:
-    """The distinct words seen lately, with their ids."""
+    """The distinct words seen lately, with their ids, of which ``most`` are kept from block to block."""
 
-    def __init__(self, vocabulary: bpe.Vocabulary, most: int = 150_000):
-        self.vocabulary = vocabulary
-        self.words = bpe.Memo(lambda word: vocabulary.encode(word.encode()), most)
-        self.special, self.marks = vocabulary.splitter(), tuple(vocabulary.special)
+    def __init__(self, source: str, most: int = 200_000, longest: int = 64):
+        self.vocabulary, self.most, self.longest = bpe.loaded(source), most, longest
+        self.library = Tokenizer.from_str(source)
+        self.table: dict[str, list[int]] = {}
+        self.special, self.marks = self.vocabulary.splitter(), tuple(self.vocabulary.special)
 
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of a text; a special string in it has its own id."""
-        of, split = self.words.__getitem__, bpe.words
+    def words(self, text: str) -> list[str]:
+        """The words of a text; a special string in it is a word of its own."""
         if any(mark in text for mark in self.marks):
             parts = self.special.split(text)
-            runs = ([self.vocabulary.special[p]] if k % 2 else chain.from_iterable(map(of, split(p))) for k, p in enumerate(parts))
-            return np.fromiter(chain.from_iterable(runs), np.int32)
-        return np.fromiter(chain.from_iterable(map(of, split(text))), np.int32)
+            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else bpe.words(part))]
+        return bpe.words(text)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text of a block, whose distinct words are encoded once."""
+        split = [self.words(t) for t in texts]
+        distinct = set().union(*split)
+        known = self.table
+        missing = [w for w in distinct if w not in known]
+        own = dict(zip(missing, (e.ids for e in self.library.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+        own |= {w: known[w] for w in distinct if w in known}
+        if len(known) + len(missing) > self.most:
+            known.clear()
+        known |= {w: ids for w, ids in own.items() if len(w) <= self.longest}
+        return [np.fromiter(chain.from_iterable(map(own.__getitem__, words)), np.int32) for words in split]
 
     def text(self, ids: np.ndarray) -> str:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def word_table(source: str) -> WordTable:
-    vocabulary = bpe.loaded(source)
-    if (key := id(vocabulary)) not in _TABLES:
+    """The table of this process."""
+    if (key := hash(source)) not in _TABLES:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _TABLES.clear()
-        _TABLES[key] = WordTable(vocabulary)
+        _TABLES[key] = WordTable(source)
     return _TABLES[key]
 
 
@@ -71,7 +86,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(source.value)
         for batch in slices(batches, most=2 << 20):
-            ids = [table.ids(t) for t in batch.column("text").to_pylist()]
+            ids = table.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids), pa.array(map(table.text, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))

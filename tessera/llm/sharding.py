@@ -30,7 +30,7 @@ def cells(part: Column, n: int) -> Column:
     return F.least(F.floor(part * n), F.lit(n - 1)).cast("bigint")
 
 
-def shard(docs: DataFrame, shards: int = 8, seed: int = 17, cell_rows: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, seed: int = 17, cell_rows: int = 20_000, least_cells: int = 256) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, text_crc32, shard (0 to ``shards`` - 1), slot (gapless from 0).
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 1. Rows with a null source form one source; a null doc_id is
@@ -44,7 +44,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, cell_rows: int = 20_
     shuffled = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
     rows = checkpointed(rows.withColumn("__key", shuffled).withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     total = rows.count()
-    n = max(1, -(-total // cell_rows))
+    n = max(least_cells, -(-total // cell_rows))
     part = (F.shiftrightunsigned("__key", 11)).cast("double") / F.lit(float(1 << 53))
     ranked = numbered(rows.withColumn("__cell", cells(part, n)), ["__source"], "__cell", ["__key", "doc_id", "text_crc32"], "__rank")
     sizes = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__rows"))
