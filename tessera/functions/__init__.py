@@ -1,0 +1 @@
+"""Types and literals of the dialect."""

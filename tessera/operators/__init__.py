@@ -1,0 +1 @@
+"""The relational operators, each a function from DataFrames to a DataFrame."""

@@ -1,0 +1 @@
+"""From query text to a DataFrame: parser, model and planner."""

@@ -1,0 +1 @@
+"""Nothing yet: the dialect has no streams. Its filters and projections work on streaming DataFrames as they are."""
