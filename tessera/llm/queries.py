@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe_codec, decontamination, licenses, near_dedup, quality, secrets, sharding, token_counts
+from tessera.llm import bpe_codec, decontamination, licenses, lm_scoring, near_dedup, quality, secrets, sharding, token_counts, toxicity
 from tessera.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digests(toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -43,6 +51,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.shard(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secrets, op4_quality, op5_token_counts, op6_decontamination, op7_near_dedup, op8_bpe_codec, op9_licenses, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_secrets, op4_quality, op5_token_counts, op6_decontamination, op7_near_dedup, op8_bpe_codec, op9_licenses, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.oracle_sql()}
