@@ -6,9 +6,11 @@ their Jaccard similarity. Bands of R values are hashed to keys; documents that s
 pair is a link only if the full sets say so. With 32 bands of 4 values, a pair of similarity 0.75 shares no key in 5 of a
 million cases; that is the only way to miss a link.
 
-Documents with equal sets are one node from the start. The nodes that share a key are first compared with one pivot of the
-key. Pairs of nodes are compared only while they are in different components, so a large group of near copies costs a few
-comparisons a node; the last round compares every remaining candidate pair that no link path joins yet.
+Documents with equal sets are one node from the start. The nodes of a key are first compared with one pivot of the key, and
+the links make components. What is left are pairs of one key that are in different components and of which neither is the
+pivot. They are compared in cells of a bounded number of nodes, a large key being cut into cells that cover all its pairs:
+first by signature values, which rules out most nodes, then by full sets. A cell gives out no pairs but the links that join
+components, fewer than it has nodes.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from tessera.llm.common import checkpointed, id_and_text, slices, utf8
 
 K, ROWS = 64, 4
 BANDS = 2 * K // ROWS
+#: Signature values of 2 K that a pair must share to be compared in full; one of similarity 0.75 does, but in 6 of a billion cases.
+AGREE = 68
+#: Nodes of a key in a half cell.
+HALF = 512
 #: Representatives fetched by a broadcast of their ids; more are fetched by a shuffled join.
 BROADCAST_IDS = 500_000
 _DICE = np.random.default_rng(7)
@@ -51,8 +57,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return whole, bounds
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The band keys of each text that has shingles, as int64 of (texts, BANDS)."""
+def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text that has shingles its band keys, as int64 of (texts, BANDS), and the low bytes of its 2 K values."""
     at = bounds[:-1][np.diff(bounds) > 0]
     values = np.empty((2 * K, len(at)), np.uint64)
     for i in range(K):
@@ -65,7 +71,7 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         for row in values[b * ROWS : (b + 1) * ROWS]:
             key = windows.mix(key * windows.STEP + row)
         keys[:, b] = key
-    return keys.view(np.int64)
+    return keys.view(np.int64), np.ascontiguousarray(values.astype(np.uint8).T)
 
 
 def sets(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -83,15 +89,97 @@ def _signed(k: int):
         for batch in slices(batches, most=1 << 20):
             hashes, bounds = shingles(*utf8(batch.column("text")), k)
             own = sets(hashes, bounds)
-            keys = signatures(hashes, bounds) if len(hashes) else np.zeros((0, BANDS), np.int64)
-            lengths = np.where(np.diff(bounds) > 0, BANDS, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(keys.ravel()))
+            some = np.diff(bounds) > 0
+            keys, low = signatures(hashes, bounds) if len(hashes) else (np.zeros((0, BANDS), np.int64), np.zeros((0, 2 * K), np.uint8))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]), pa.int32()), pa.array(keys.ravel()))
             marks = pa.array([mark(s) if len(s) else None for s in own], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), marks, lists], ["doc_id", "n_shingles", "mark", "keys"])
+            each = iter(low)
+            lows = pa.array([next(each).tobytes() if x else None for x in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), marks, lists, lows], ["doc_id", "n_shingles", "mark", "keys", "low"])
 
     return signed
 
 
+def _lows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 2 * K)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose signatures agree enough."""
+    for batch in batches:
+        if batch.num_rows:
+            keep = (_lows(batch.column("low_a")) == _lows(batch.column("low_b"))).sum(1) >= AGREE
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Cell by cell, from rows in order of ``cell``."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cell = table.column("cell").to_numpy()
+        edges = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        for a, b in zip([0, *edges[:-1].tolist()], edges.tolist(), strict=False):
+            yield table.slice(a, b - a)
+        held = table.slice(int(edges[-1]) if len(edges) else 0)
+    if held is not None:
+        yield held
+
+
+def _apart(roots: np.ndarray) -> np.ndarray:
+    """The rows outside the largest component; every pair of different components has one of them."""
+    values, of, n = np.unique(roots, return_inverse=True, return_counts=True)
+    return np.flatnonzero(of != np.argmax(n)) if len(values) > 1 else np.zeros(0, np.int64)
+
+
+def _flagged(percent: int):
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The (key, node) of nodes that may be linked with one of another component in their cell."""
+        for table in _cells(batches):
+            roots, n = table.column("root").to_numpy(), table.column("n").to_numpy()
+            if len(outside := _apart(roots)):
+                low, hit = _lows(table.column("low")), np.zeros(len(roots), bool)
+                for o in outside:
+                    near = (roots != roots[o]) & (np.minimum(n, n[o]) * 100 >= np.maximum(n, n[o]) * percent)
+                    near = np.flatnonzero(near)
+                    near = near[(low[near] == low[o]).sum(1) >= AGREE]
+                    if len(near):
+                        hit[near] = hit[o] = True
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column(x).filter(pa.array(hit)) for x in ("key", "node"))], ["key", "node"])
+
+    return flagged
+
+
+def _linked(percent: int):
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between components in each cell, enough to join all that any links join."""
+        for table in _cells(batches):
+            roots, nodes = table.column("root").to_numpy(), table.column("node").to_numpy()
+            if not len(outside := _apart(roots)):
+                continue
+            own = table.column("own").combine_chunks()
+            n = np.diff(own.offsets.to_numpy())
+            values, flat = np.unique(own.values.to_numpy()[own.offsets[0].as_py() : own.offsets[-1].as_py()], return_inverse=True)
+            at = np.cumsum(n) - n
+            holds, found, group = np.zeros(len(values), bool), [], roots.copy()
+            for o in outside:
+                mine = flat[at[o] : at[o] + n[o]]
+                holds[mine] = True
+                common = np.add.reduceat(holds[flat].astype(np.int64), at)
+                holds[mine] = False
+                for x in np.flatnonzero((common * 100 >= (n + n[o] - common) * percent) & (group != group[o])):
+                    if group[x] != group[o]:
+                        found.append((int(nodes[o]), int(nodes[x])))
+                        group[group == group[x]] = group[o]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return linked
+
+
 def _full_sets(k: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
@@ -131,78 +219,73 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def in_cells(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, ...) with ``cell``, repeated so that any two nodes of a key meet in a cell, and sorted by it.
+
+    A key of up to 2 HALF nodes is one cell. A larger one is dealt into parts of about HALF nodes, and each two make a cell.
+    """
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    parts = F.when(F.col("m") <= 2 * HALF, F.lit(1)).otherwise(F.ceil(F.col("m") / HALF)).cast("int")
+    dealt = rows.join(counts, "key").withColumn("q", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("q") - 1), lambda x: (x != F.col("part")) | (F.col("q") == 1))
+    met = dealt.withColumn("other", F.explode(others))
+    cell = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    return met.withColumn("cell", cell).drop("m", "q", "part", "other").repartition("cell").sortWithinPartitions("cell")
+
+
 class _Graph:
-    """The nodes, the candidates among them, and the links found so far."""
+    """The nodes, and the candidates among them."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
-        self.texts, self.k, self.percent = id_and_text(docs), k, percent
-        rows = self.texts.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-        self.texts = rows
-        self.signed = checkpointed(rows.mapInArrow(_signed(k), "doc_id bigint, n_shingles bigint, mark binary, keys array<bigint>"))
-        nodes = self.signed.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+        self.k, self.percent = k, percent
+        self.texts = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+        self.signed = checkpointed(self.texts.mapInArrow(_signed(k), "doc_id bigint, n_shingles bigint, mark binary, keys array<bigint>, low binary"))
+        nodes = self.signed.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("least"), F.first(F.struct("keys", "low", "n_shingles")).alias("own"))
+        nodes = nodes.select("mark", "least", F.col("own.n_shingles").alias("n"), "own.keys", "own.low")
         self.nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-        keyed = self.nodes.select("node", "n", F.explode("keys").alias("key"))
+        keyed = self.nodes.select("node", F.explode("keys").alias("key"))
         shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).filter("c > 1")
-        self.candidates = checkpointed(keyed.join(shared.select("key", "pivot"), "key"))
-        self.links: DataFrame | None = None
-        self.tried: DataFrame | None = None
-
-    def possible(self, a: str, b: str):
-        """Sets of these sizes can reach the similarity."""
-        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
-
-    def sizes(self, name: str) -> DataFrame:
-        return self.nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"))
-
-    def compare(self, pairs: DataFrame) -> None:
-        """Adds the links among ``pairs`` (a, b, n_a, n_b), each pair once."""
-        pairs = pairs.filter(self.possible("n_a", "n_b")).select("a", "b", "n_a", "n_b").distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "mark", F.col("least").alias("doc_id")), "node")
-        needed = checkpointed(needed)
+        self.candidates = checkpointed(keyed.join(shared, "key").filter("node <> pivot"))
+
+    def sets(self, needed: DataFrame) -> DataFrame:
+        """(node, own) with the full set of each of the distinct nodes of ``needed``, computed from its text again."""
+        needed = checkpointed(needed.select("node").distinct().join(self.nodes.select("node", "mark", F.col("least").alias("doc_id")), "node"))
         few = needed.count() <= BROADCAST_IDS
         texts = self.texts.join(F.broadcast(needed) if few else needed, "doc_id").select("node", "mark", "text")
-        own = texts.mapInArrow(_full_sets(self.k), "node bigint, own array<bigint>").dropDuplicates(["node"])
-        with_a = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("own_a")), "a")
-        with_both = with_a.join(own.select(F.col("node").alias("b"), F.col("own").alias("own_b")), "b")
+        return texts.mapInArrow(_full_sets(self.k), "node bigint, own array<bigint>").dropDuplicates(["node"])
+
+    def pivot_links(self) -> DataFrame:
+        """The links (a, b) between the nodes of a key and its pivot."""
+        pairs = self.candidates.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        own = self.nodes.select("node", "n", "low")
+        for x in ("a", "b"):
+            pairs = pairs.join(own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("low").alias(f"low_{x}")), x)
+        possible = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
+        alike = checkpointed(pairs.filter(possible).select("a", "b", "low_a", "low_b").mapInArrow(_alike, "a bigint, b bigint"))
+        sets = self.sets(alike.select(F.explode(F.array("a", "b")).alias("node")))
+        for x in ("a", "b"):
+            alike = alike.join(sets.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}")), x)
         common = F.size(F.array_intersect("own_a", "own_b"))
-        links = with_both.select("a", "b", "n_a", "n_b", common.alias("i")).filter(F.col("i") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("i")) * self.percent)
-        found = checkpointed(links.select("a", "b"))
-        self.links = found if self.links is None else self.links.unionByName(found)
-        tried = pairs.select("a", "b")
-        self.tried = tried if self.tried is None else self.tried.unionByName(tried)
-
-    def grouped(self) -> tuple[DataFrame, DataFrame]:
-        """The components so far, and the candidates whose key still joins several of them, with their root."""
-        roots = checkpointed(components(self.links))
-        rows = self.candidates.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-        return roots, checkpointed(rows.join(split, "key").select("key", "node", "n", "root"))
+        sizes = F.size("own_a") + F.size("own_b")
+        return checkpointed(alike.withColumn("i", common).filter(F.col("i") * 100 >= (sizes - F.col("i")) * self.percent).select("a", "b"))
 
     def solve(self) -> DataFrame:
         """(node, root) of the nodes in groups of two or more."""
-        a = self.candidates.filter("node > pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
-        self.compare(a.join(self.sizes("a"), "a"))
-        former = None
-        while True:
-            roots, rows = self.grouped()
-            by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-            by_key = by_root.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            total, cross = by_key.agg(F.coalesce(F.sum("s"), F.lit(0)), F.coalesce(F.sum(F.expr("(s * s - q) / 2")), F.lit(0))).first()
-            if not total:
-                return roots
-            if cross <= 4 * total or former == (total, cross):
-                left = rows.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"))
-                right = rows.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-                pairs = left.join(right, "key").filter((F.col("r_a") != F.col("r_b")) & (F.col("a") < F.col("b")))
-                self.compare(pairs.select("a", "b", "n_a", "n_b"))
-                return components(self.links)
-            former = (total, cross)
-            chosen = rows.groupBy("key").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", "key")).alias("p"))
-            pairs = rows.join(chosen, "key").filter("root != p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"), F.when(F.col("node") < F.col("p.node"), F.col("n")).otherwise(F.col("p.n")).alias("n_a"), F.when(F.col("node") < F.col("p.node"), F.col("p.n")).otherwise(F.col("n")).alias("n_b"))
-            self.compare(pairs)
+        links = self.pivot_links()
+        roots = checkpointed(components(links))
+        rows = self.candidates.filter("c > 2").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+        rows = checkpointed(rows.join(split, "key"))
+        if rows.isEmpty():
+            return roots
+        flags = in_cells(rows.join(self.nodes.select("node", "n", "low"), "node")).select("cell", "key", "node", "root", "n", "low")
+        flagged = flags.mapInArrow(_flagged(self.percent), "key bigint, node bigint").distinct()
+        rows = checkpointed(rows.join(flagged, ["key", "node"]))
+        if rows.isEmpty():
+            return roots
+        full = in_cells(rows.join(self.sets(rows), "node")).select("cell", "node", "root", "own")
+        more = full.mapInArrow(_linked(self.percent), "a bigint, b bigint")
+        return components(links.unionByName(more))
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:

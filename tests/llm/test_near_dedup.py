@@ -35,6 +35,21 @@ def test_chains_and_groups_of_near_copies(spark):
     assert brute.bag(near_dedup.near_groups(brute.documents(spark, rows)), *COLUMNS) == want
 
 
+def test_a_large_key_is_cut_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HALF", 4)
+    dice = random.Random(6)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(70):
+        own = base[:]
+        for _ in range(dice.choice((1, 1, 2, 3, 4))):
+            own[dice.randrange(60)] = word()
+        rows.append((i, " ".join(own), None, None, None, None, None))
+    want = brute.jaccard_components(rows)
+    assert 3 < len({r[2] for r in want}) < 60
+    assert brute.bag(near_dedup.near_groups(brute.documents(spark, rows)), *COLUMNS) == want
+
+
 def test_signature_values_agree_as_often_as_sets_overlap():
     dice = np.random.default_rng(1)
     pool = dice.integers(0, 1 << 63, 4000, dtype=np.uint64)
@@ -42,9 +57,9 @@ def test_signature_values_agree_as_often_as_sets_overlap():
     for s in range(40):
         part = pool[s * 100 : s * 100 + 100]
         a, b = part[:86], part[14:]  # 72 of 100
-        keys = near_dedup.signatures(np.concatenate([a, b]), np.array([0, 86, 172]))
-        agreed.append((keys[0] == keys[1]).mean())
-    assert abs(np.mean(agreed) - 0.72**near_dedup.ROWS) < 0.03
+        keys, low = near_dedup.signatures(np.concatenate([a, b]), np.array([0, 86, 172]))
+        agreed.append(((keys[0] == keys[1]).mean(), (low[0] == low[1]).mean()))
+    assert np.allclose(np.mean(agreed, 0), [0.72**near_dedup.ROWS, 0.72], atol=0.03)
 
 
 def test_components(spark):
