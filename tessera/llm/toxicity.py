@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features of a text are its words and their beginnings of 4 to 6 characters. The vocabulary is the features that stand in more
+Features of a text are its words and their beginnings of 4 to 8 characters. The vocabulary is the features that stand in more
 toxic examples than chance allows; idf comes from the counts over all documents. The examples' vectors lie in an inverted
 index whose postings are cut into blocks of examples; the largest weight of each feature in each block bounds the cosines
 there, and a search opens blocks in order of their bounds until none can reach the k nearest.
@@ -26,7 +26,7 @@ from tessera.llm.common import checkpointed, id_and_text, slices
 
 #: Bounds of the fit: labelled rows used, and features kept.
 EXAMPLES, FEATURES = 16_384, 4096
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7, 8)
 NEAREST, BLOCK = 15, 64
 SOFTEN = 0.05  #: added to a distance before its inverse weighs a vote
 KEEP = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -108,6 +108,7 @@ class Classifier:
 
     def vector(self, counts: Counter) -> dict[int, float]:
         weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
+        weights[len(self.idf)] = float(self.idf.max())  # one weight that all have, so that the others' size tells in a cosine
         norm = math.sqrt(sum(x * x for x in weights.values())) or 1.0
         return {t: float(x / norm) for t, x in weights.items()}
 

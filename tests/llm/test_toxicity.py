@@ -86,8 +86,8 @@ def test_no_labels_and_no_rows(spark):
 
 
 def test_query_on_the_tables(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["toxic"] for r in brute.pq.read_table(f"{sf}/labels.parquet").to_pylist()}
     got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, sf).collect()}
     held = [(r["predicted"], labels[d]) for d, r in got.items() if r["held_out"] and d in labels]
-    assert len(got) == 1000 and sum(p == t for p, t in held) >= 0.97 * len(held)
+    assert len(got) == 10_000 and sum(p == t for p, t in held) >= 0.97 * len(held)
