@@ -10,68 +10,51 @@ them) costs more shuffle than the texts have bytes.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tessera.llm import bpe
 from tessera.llm.common import id_and_text, slices
 
-_TABLES: dict[int, WordTable] = {}
+_CODECS: dict[int, Codec] = {}
 
 
-class WordTable:
-    """The distinct words seen lately, with their ids, of which ``most`` are kept from block to block."""
+class Codec:
+    """A vocabulary with the table of words seen lately."""
 
-    def __init__(self, source: str, most: int = 200_000, longest: int = 64):
-        self.vocabulary, self.most, self.longest = bpe.loaded(source), most, longest
-        self.library = Tokenizer.from_str(source)
-        self.table: dict[str, list[int]] = {}
-        self.special, self.marks = self.vocabulary.splitter(), tuple(self.vocabulary.special)
+    def __init__(self, source: str, most: int = 300_000):
+        self.vocabulary = bpe.loaded(source)
+        encoder, special = self.vocabulary.encoder(), self.vocabulary.special
+        self.table = bpe.WordTable(lambda word: [special[word]] if word in special else encoder(word), most)
+        self.splitter, self.marks = self.vocabulary.splitter(), tuple(special)
 
     def words(self, text: str) -> list[str]:
         """The words of a text; a special string in it is a word of its own."""
         if any(mark in text for mark in self.marks):
-            parts = self.special.split(text)
+            parts = self.splitter.split(text)
             return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else bpe.words(part))]
         return bpe.words(text)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text of a block, whose distinct words are encoded once."""
-        split = [self.words(t) for t in texts]
-        distinct = set().union(*split)
-        known = self.table
-        missing = [w for w in distinct if w not in known]
-        own = dict(zip(missing, (e.ids for e in self.library.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-        own |= {w: known[w] for w in distinct if w in known}
-        if len(known) + len(missing) > self.most:
-            known.clear()
-        known |= {w: ids for w, ids in own.items() if len(w) <= self.longest}
-        return [np.fromiter(chain.from_iterable(map(own.__getitem__, words)), np.int32) for words in split]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a block in a row, and the bounds of each text."""
+        split = list(map(self.words, texts))
+        places, ends = self.table.places(self.table.numbers(split))
+        return self.table.flat[places], ends[np.concatenate([[0], np.cumsum(list(map(len, split)), dtype=np.int64)])]
 
-    def text(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.vocabulary.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def text(self, ids: list[int]) -> str:
+        return b"".join(map(self.vocabulary.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def word_table(source: str) -> WordTable:
-    """The table of this process."""
-    if (key := hash(source)) not in _TABLES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _TABLES.clear()
-        _TABLES[key] = WordTable(source)
-    return _TABLES[key]
-
-
-def lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+def codec(source: str) -> Codec:
+    """The codec of this process."""
+    if (key := hash(source)) not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(source)
+    return _CODECS[key]
 
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -84,10 +67,13 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     source = docs.sparkSession.sparkContext.broadcast(bpe.source_of(path))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(source.value)
+        own = codec(source.value)
         for batch in slices(batches, most=2 << 20):
-            ids = table.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(ids), pa.array(map(table.text, ids), pa.string())], ["doc_id", "ids", "decoded"])
+            ids, bounds = own.encode(batch.column("text").to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+            plain = ids.tolist()
+            texts = [own.text(plain[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return rows.mapInArrow(coded, "doc_id bigint, ids array<int>, decoded string")
@@ -103,9 +89,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     source = encoded.sparkSession.sparkContext.broadcast(bpe.source_of(path))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(source.value)
+        own = codec(source.value)
         for batch in batches:
-            texts = [table.text(np.asarray(ids, np.int32)) for ids in batch.column("ids").to_pylist()]
+            texts = [own.text(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

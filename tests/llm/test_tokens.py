@@ -44,10 +44,23 @@ def test_memos_stay_bounded():
     for word in ("a", "bb", "ccc", "dddd", "eeeee", "a", "bb", "ff", "gg"):
         assert memo[word] == len(word)
         assert len(memo) <= 3 and len(memo.former) <= 3 and "eeeee" not in memo
-    table = bpe_codec.WordTable(bpe.source_of(None), most=5)
+    codec = bpe_codec.Codec(bpe.source_of(None), most=5)
     for text in ("one two three four", "five six seven", "one " * 50, ""):
-        assert table.text(table.encode([text])[0]) == text
-        assert len(table.table) <= 5
+        ids, bounds = codec.encode([text, "", text])
+        assert codec.text(ids[: bounds[1]].tolist()) == text == codec.text(ids[bounds[2] :].tolist()) and bounds[1] == bounds[2]
+        assert len(codec.table) <= 5 + 4 and len(codec.table.length) == len(codec.table)
+
+
+def test_native_encoder_makes_the_same_merges():
+    vocabulary = bpe.Vocabulary.parse(bpe.source_of(None))
+    encoder = vocabulary.encoder()
+    for piece in vocabulary.pieces.values():
+        try:
+            word = piece.decode()
+        except UnicodeDecodeError:
+            continue
+        if word not in vocabulary.special:
+            assert tuple(encoder(word)) == vocabulary.encode(piece)
 
 
 def test_empty_table(spark):
