@@ -150,7 +150,7 @@ class WordTable(dict):
     Each word is encoded once. Bounded: with more than ``most`` words the table starts anew before the next block.
     """
 
-    def __init__(self, encode, most: int = 300_000):
+    def __init__(self, encode, most: int = 200_000):
         super().__init__()
         self.encode, self.most = encode, most
         self.restart()

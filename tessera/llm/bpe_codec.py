@@ -26,7 +26,7 @@ _CODECS: dict[int, Codec] = {}
 class Codec:
     """A vocabulary with the table of words seen lately."""
 
-    def __init__(self, source: str, most: int = 300_000):
+    def __init__(self, source: str, most: int = 200_000):
         self.vocabulary = bpe.loaded(source)
         encoder, special = self.vocabulary.encoder(), self.vocabulary.special
         self.table = bpe.WordTable(lambda word: [special[word]] if word in special else encoder(word), most)
