@@ -32,9 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that lost executors cost no lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder and read back, so that lost executors cost no lineage.
+
+    The copy does not carry the plan's estimated size: estimates of joins are products, and in a loop they would grow beyond
+    all bounds.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:

@@ -198,7 +198,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): the smallest node that is reachable. By large and small stars."""
 
     def least(of: DataFrame) -> DataFrame:
-        return of.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        return checkpointed(of.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
 
     def print_of(of: DataFrame):
         return of.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -208,7 +208,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(large)
+        lowest = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         stars = checkpointed(small.select("e.u", "e.v").filter("u > v").distinct())
         now = print_of(stars)
@@ -224,7 +225,7 @@ def in_cells(rows: DataFrame) -> DataFrame:
 
     A key of up to 2 HALF nodes is one cell. A larger one is dealt into parts of about HALF nodes, and each two make a cell.
     """
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    counts = checkpointed(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")))  # so that a skewed join with it can be split
     parts = F.when(F.col("m") <= 2 * HALF, F.lit(1)).otherwise(F.ceil(F.col("m") / HALF)).cast("int")
     dealt = rows.join(counts, "key").withColumn("q", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("q") - 1), lambda x: (x != F.col("part")) | (F.col("q") == 1))
@@ -244,7 +245,7 @@ class _Graph:
         nodes = nodes.select("mark", "least", F.col("own.n_shingles").alias("n"), "own.keys", "own.low")
         self.nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
         keyed = self.nodes.select("node", F.explode("keys").alias("key"))
-        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).filter("c > 1")
+        shared = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).filter("c > 1"))
         self.candidates = checkpointed(keyed.join(shared, "key").filter("node <> pivot"))
 
     def sets(self, needed: DataFrame) -> DataFrame:
@@ -274,12 +275,13 @@ class _Graph:
         links = self.pivot_links()
         roots = checkpointed(components(links))
         rows = self.candidates.filter("c > 2").select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+        rows = checkpointed(rows)
+        split = checkpointed(rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key"))
         rows = checkpointed(rows.join(split, "key"))
         if rows.isEmpty():
             return roots
         flags = in_cells(rows.join(self.nodes.select("node", "n", "low"), "node")).select("cell", "key", "node", "root", "n", "low")
-        flagged = flags.mapInArrow(_flagged(self.percent), "key bigint, node bigint").distinct()
+        flagged = checkpointed(flags.mapInArrow(_flagged(self.percent), "key bigint, node bigint").distinct())
         rows = checkpointed(rows.join(flagged, ["key", "node"]))
         if rows.isEmpty():
             return roots
