@@ -47,41 +47,43 @@ def features(word: bytes) -> list[str]:
 
 
 class Index:
-    """Unit vectors of labelled examples, for exact searches of the nearest by cosine."""
+    """Unit vectors of labelled examples, for exact searches of the nearest by cosine.
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int]):
+    A block's postings are a small matrix, with a row for each feature that the block holds and a column for each example;
+    ``row`` finds them, and ``most`` has the largest weight of each feature in each block.
+    """
+
+    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int], size: int):
         # like examples stand together, so that few blocks have high bounds
         order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), ids[i]))
         self.vectors, self.labels, self.ids = [vectors[i] for i in order], np.array([labels[i] for i in order], float), [ids[i] for i in order]
-        self.blocks = -(-len(order) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for place, v in enumerate(self.vectors):
-            for t, x in v.items():
-                postings.setdefault(t, []).append((place, x))
-        self.postings = {}
-        for t, pairs in postings.items():
-            places, weights = np.array([p for p, _ in pairs]), np.array([x for _, x in pairs])
-            number, first = np.unique(places // BLOCK, return_index=True)
-            self.postings[t] = (places, weights, number, np.append(first, len(places)), np.maximum.reduceat(weights, first))
+        n = -(-len(order) // BLOCK)
+        self.row, self.most, self.blocks = np.full((n, size), -1, np.int16), np.zeros((size, n)), []
+        for b in range(n):
+            own = self.vectors[b * BLOCK : (b + 1) * BLOCK]
+            held = sorted({t for v in own for t in v})
+            self.row[b, held] = np.arange(len(held))
+            postings = np.zeros((len(held), BLOCK))
+            for i, v in enumerate(own):
+                for t, x in v.items():
+                    postings[self.row[b, t], i] = x
+            self.most[held, b] = postings.max(1)
+            self.blocks.append(postings)
 
     def nearest(self, query: dict[int, float], k: int = NEAREST, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest with a positive cosine; of equal ones, the first places. ``skip`` is left out."""
-        own = [(self.postings[t], x) for t, x in query.items() if t in self.postings]
-        bounds = np.zeros(self.blocks)
-        for (_, _, number, _, most), x in own:
-            bounds[number] += x * most
+        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        bounds = weights @ self.most[terms]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
+        for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
                 break
-            cosines = np.zeros(BLOCK)
-            for (places, weights, number, first, _), x in own:
-                if (i := int(np.searchsorted(number, b))) < len(number) and number[i] == b:
-                    s = slice(first[i], first[i + 1])
-                    cosines[places[s] - b * BLOCK] += x * weights[s]
-            found = np.flatnonzero(cosines > 0)
-            best += [(-round(float(cosines[i]), 9), int(b) * BLOCK + int(i)) for i in found if b * BLOCK + i != skip]
-            best = sorted(best)[:k]
+            rows = self.row[b, terms]
+            known = rows >= 0
+            cosines = np.round(weights[known] @ self.blocks[b][rows[known]], 9)
+            least = -best[-1][0] if len(best) == k else 1e-9
+            near = np.flatnonzero(cosines >= least)
+            best = sorted(best + [(-c, b * BLOCK + i) for c, i in zip(cosines[near].tolist(), near.tolist(), strict=True) if b * BLOCK + i != skip])[:k]
         return [(-c, place) for c, place in best]
 
 
@@ -134,7 +136,7 @@ class Classifier:
 
 def _counted(vocabulary: dict[str, int]):
     """A function from a text to the counts of its known features."""
-    memo = Memo(lambda w: tuple(i for f in features(w) if (i := vocabulary.get(f)) is not None))
+    memo = Memo(lambda w: tuple(i for f in features(w) if (i := vocabulary.get(f)) is not None), 100_000)
 
     def counts(text: str) -> Counter:
         return Counter(i for own in map(memo.__getitem__, words(text)) if own for i in own)
@@ -208,7 +210,7 @@ def fit(texts: DataFrame, labels: DataFrame, most: int = EXAMPLES, most_features
     share = n_toxic / max(1, n_toxic + n_other)
     model = Classifier(vocabulary, idf, None, (sum(bare) + share) / (len(bare) + 1), None)
     if full := sorted((r for r in rows if r["counts"]), key=lambda r: r["doc_id"]):
-        model.index = Index([model.vector(Counter(r["counts"])) for r in full], [r["toxic"] for r in full], [r["doc_id"] for r in full])
+        model.index = Index([model.vector(Counter(r["counts"])) for r in full], [r["toxic"] for r in full], [r["doc_id"] for r in full], len(idf) + 1)
         model.calibrate()
     return model
 

@@ -19,7 +19,7 @@ def unit(dice, n):
 def test_searches_are_exact(seed):
     dice = random.Random(seed)
     vectors = [unit(dice, 25) for _ in range(500)]
-    index = toxicity.Index(vectors, [0] * 500, list(range(500)))
+    index = toxicity.Index(vectors, [0] * 500, list(range(500)), 30)
     for _ in range(60):
         query, skip = unit(dice, 30), dice.randrange(-1, 500)
         cosines = [sum(x * v.get(t, 0) for t, x in query.items()) for v in index.vectors]
