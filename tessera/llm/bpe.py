@@ -106,12 +106,14 @@ class Vocabulary:
         return tuple(ids[s] for s in symbols if s >= 0)
 
     def encoder(self):
-        """A function from a word to its ids: the native one wherever ids of merged symbols grow with their rank."""
+        """A function from a word's bytes to its ids: the native one wherever ids of merged symbols grow with their rank."""
         merged = self.ids[256:]
         if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
-            return lambda word: list(self.encode(word.encode()))
+            return lambda word: list(self.encode(word))
         ranks = {self.pieces[i]: i for i in self.ids}
-        return tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        native = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        direct = getattr(getattr(native, "_core_bpe", None), "encode_single_piece", None)
+        return direct or (lambda word: native.encode_ordinary(word.decode()))
 
     def splitter(self) -> regex.Pattern | None:
         """Matches the special strings, each in a group, so that ``split`` keeps them."""

@@ -29,7 +29,7 @@ class Codec:
     def __init__(self, source: str, most: int = 200_000):
         self.vocabulary = bpe.loaded(source)
         encoder, special = self.vocabulary.encoder(), self.vocabulary.special
-        self.table = bpe.WordTable(lambda word: [special[word]] if word in special else encoder(word), most)
+        self.table = bpe.WordTable(lambda word: [special[word]] if word in special else encoder(word.encode()), most)
         self.splitter, self.marks = self.vocabulary.splitter(), tuple(special)
 
     def words(self, text: str) -> list[str]:

@@ -55,12 +55,8 @@ def test_native_encoder_makes_the_same_merges():
     vocabulary = bpe.Vocabulary.parse(bpe.source_of(None))
     encoder = vocabulary.encoder()
     for piece in vocabulary.pieces.values():
-        try:
-            word = piece.decode()
-        except UnicodeDecodeError:
-            continue
-        if word not in vocabulary.special:
-            assert tuple(encoder(word)) == vocabulary.encode(piece)
+        if piece.decode("utf-8", "replace") not in vocabulary.special:
+            assert tuple(encoder(piece)) == vocabulary.encode(piece)
 
 
 def test_empty_table(spark):
