@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows, unless the session asks for its own number: rows here are whole texts, and the default of
+    10,000 would hold them several times, in the executor and in its Python workers.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints, which all executors share: the session's ``spark.checkpoint.dir``.
 
@@ -45,6 +54,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     """The document id, the text with null as empty, and ``more``; any other column is left behind."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

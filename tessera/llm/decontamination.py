@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import slices, small_batches
 
 #: Bytes of benchmark text that one search holds; a larger benchmark is searched in several passes over the same rows.
 PASS_BYTES = 32 << 20
@@ -124,6 +124,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, width: int = 10, pass_b
     Other columns are ignored. The benchmark is broadcast in passes of ``pass_bytes``, and each pass is one more map over the
     same rows, so its size is not bounded.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     text = F.coalesce(F.col("text"), F.lit("")).alias("__text")
     rows = docs.select(*keep, text, F.lit(0).cast("bigint").alias("__words"), F.array().cast("array<struct<start:int,end:int>>").alias("__spans"), F.array().cast("array<string>").alias("__items"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Memo
-from tessera.llm.common import checkpointed, id_and_text, slices
+from tessera.llm.common import checkpointed, id_and_text, slices, small_batches
 
 #: Bounds of the fit: labelled rows used, and features kept.
 EXAMPLES, FEATURES = 16_384, 4096
@@ -63,7 +63,7 @@ class Index:
             own = self.vectors[b * BLOCK : (b + 1) * BLOCK]
             held = sorted({t for v in own for t in v})
             self.row[b, held] = np.arange(len(held))
-            postings = np.zeros((len(held), BLOCK))
+            postings = np.zeros((len(held), BLOCK), np.float32)
             for i, v in enumerate(own):
                 for t, x in v.items():
                     postings[self.row[b, t], i] = x
@@ -76,12 +76,12 @@ class Index:
         bounds = weights @ self.most[terms]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
+            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-6:
                 break
             rows = self.row[b, terms]
             known = rows >= 0
-            cosines = np.round(weights[known] @ self.blocks[b][rows[known]], 9)
-            least = -best[-1][0] if len(best) == k else 1e-9
+            cosines = np.round(weights[known] @ self.blocks[b][rows[known]], 6)
+            least = -best[-1][0] if len(best) == k else 1e-6
             near = np.flatnonzero(cosines >= least)
             best = sorted(best + [(-c, b * BLOCK + i) for c, i in zip(cosines[near].tolist(), near.tolist(), strict=True) if b * BLOCK + i != skip])[:k]
         return [(-c, place) for c, place in best]
@@ -131,6 +131,7 @@ class Classifier:
             if near := self.index.nearest(own, skip=place):
                 raw.append(self.votes(near))
                 labels.append(self.index.labels[place])
+        self.index.vectors = []  # searches need the blocks alone
         self.curve = isotonic(np.array(raw), np.array(labels)) if raw else (np.array([0.0, 1.0]), np.array([self.empty, max(self.empty, 0.5)]))
 
 
@@ -176,7 +177,7 @@ def vocabulary_of(examples: DataFrame, n_toxic: int, n_other: int, most: int) ->
     counts = examples.mapInArrow(_label_counts, "feature string, other bigint, toxic bigint").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
     share = (F.col("other") + F.col("toxic")) / n
     z = (F.col("toxic") / max(1, n_toxic) - F.col("other") / max(1, n_other)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / max(1, n_toxic) + 1 / max(1, n_other)))
-    strong = counts.filter("toxic >= 3").withColumn("z", z).filter(F.col("z") >= min(8.0, 0.6 * math.sqrt(n)))
+    strong = counts.filter("toxic >= 3").withColumn("z", z).filter(F.col("z") >= min(8.0, 0.3 * math.sqrt(n)))
     return sorted(r[0] for r in strong.orderBy(F.desc("z"), "feature").limit(most).select("feature").collect())
 
 
@@ -225,6 +226,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, keep:
     all every score is 0. Equal texts have equal scores; repeated rows are scored each; ties of distance go to the same
     examples everywhere. Of an empty table nothing is returned; other columns are ignored. Texts are read whole.
     """
+    small_batches(docs.sparkSession)
     texts = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, labels, most))
     rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))

@@ -23,10 +23,10 @@ def test_searches_are_exact(seed):
     for _ in range(60):
         query, skip = unit(dice, 30), dice.randrange(-1, 500)
         cosines = [sum(x * v.get(t, 0) for t, x in query.items()) for v in index.vectors]
-        want = sorted((-round(c, 9), p) for p, c in enumerate(cosines) if c > 0 and p != skip)[: toxicity.NEAREST]
+        want = sorted((-round(c, 6), p) for p, c in enumerate(cosines) if c > 0 and p != skip)[: toxicity.NEAREST]
         got = index.nearest(query, skip=skip)
-        assert np.allclose([c for c, _ in got], [-c for c, _ in want])
-        assert [p for _, p in got] == [p for _, p in want] or len({round(c, 8) for c, _ in got}) < len(got)
+        assert np.allclose([c for c, _ in got], [-c for c, _ in want], atol=2e-6)
+        assert [p for _, p in got] == [p for _, p in want] or min(np.diff(sorted(c for c, _ in got)), default=0) <= 2e-6
 
 
 def test_calibration_is_monotone():
