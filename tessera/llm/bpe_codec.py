@@ -3,7 +3,7 @@
 A block of texts is split into words; each distinct word is encoded once, in a table of words and ids; ids go back to the
 texts by the words' positions. Decoding joins ids with the pieces of the vocabulary.
 
-The table of a block is kept by its task and handed on to the next blocks, bounded in size, rather than being one table of
+The table of a block is kept by its task for the next blocks, bounded in size, rather than being one table of
 the whole corpus: distinct words grow with the corpus, so such a table can't be broadcast, and moving texts to it (or it to
 them) costs more shuffle than the texts have bytes.
 """
@@ -74,6 +74,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             plain = ids.tolist()
             texts = [own.text(plain[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+        own.table.restart()
 
     rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return rows.mapInArrow(coded, "doc_id bigint, ids array<int>, decoded string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -80,6 +81,15 @@ def ranges(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def release() -> None:
+    """Gives what a task has freed back to the system, as its Python worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not with this C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into ones of at most ``most`` bytes of ``name`` each, so that work space stays bounded."""
     for batch in batches:
@@ -87,3 +97,4 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4
             _, offsets = utf8(batch.column(name))
             for i, j in ranges(offsets, most):
                 yield batch.slice(i, j - i)
+    release()
