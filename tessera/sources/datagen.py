@@ -16,6 +16,11 @@ def _uniform(seed: int, name: str, below: int, *more: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id"), *more), F.lit(below))
 
 
+def _letters(seed: int, name: str, length: int) -> Column:
+    places = F.sequence(F.lit(1), F.lit(length))
+    return F.array_join(F.transform(places, lambda i: F.char(F.lit(97) + _uniform(seed, name, 26, i))), "")
+
+
 def generate(spark: SparkSession, columns: list[Declared], n: int, seed: int = 0) -> DataFrame:
     """``n`` rows. An INTEGER column with key PK has distinct values below its range; the rest are uniform."""
     out = []
@@ -33,7 +38,6 @@ def generate(spark: SparkSession, columns: list[Declared], n: int, seed: int = 0
         elif c.type == "TIME":
             value = (_uniform(seed, c.name, max(1, min(24, c.range)) * 3600)).cast("int")
         else:
-            letters = F.transform(F.sequence(F.lit(1), F.lit(max(1, c.range))), lambda i, c=c: F.char(F.lit(97) + _uniform(seed, c.name, 26, i)))
-            value = F.array_join(letters, "")
+            value = _letters(seed, c.name, max(1, c.range))
         out.append(value.alias(c.name, metadata=c.field().metadata))
     return spark.range(n).select(out)
