@@ -23,7 +23,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
