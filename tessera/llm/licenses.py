@@ -1,7 +1,8 @@
 """License scans by canonical digest lookup, in DataFrame operations only.
 
 A text is brought to a canonical form: lower case, without copyright lines, with one spelling of equivalent words, and with
-punctuation and white space as single spaces. Its digest is joined with the digests of the known licences.
+punctuation and white space as single spaces. Its digest is joined with the digests of the known licences. The same is done
+with the parts of a text, its lines and paragraphs, as most statements are a line of a longer text.
 """
 
 from __future__ import annotations
@@ -57,6 +58,29 @@ KNOWN = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
 )
+# Licences with a notice in SPDX form, and another notice.
+SPDX = ("0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+NOTICES = (("MIT-notice", "Released under the MIT License."), *((f"{i}-notice", f"SPDX-License-Identifier: {i}{more}") for i in SPDX for more in ("", "-only", "-or-later") if not more or "GPL" in i))
+# Digests of canonical forms of long licence texts, as Debian's base-files ships them.
+DIGESTS = (
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Artistic-1.0-Perl", "93aa47d57763801ed6e6a6591d4d4049a2c46794df90838023ceade56b569da0"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86"),
+    ("GFDL-1.3", "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "5272fb2d9117cba4ebb1b4a6612e61ab05ddddeff56bd30c3ac3798e23821b30"),
+    ("LGPL-2.0", "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c"),
+    ("LGPL-2.1", "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+)
+#: Words of the shortest paragraph that tells a licence by itself.
+LEAST_WORDS = 8
+BLANK_LINES = r"\n\s*\n"
 
 
 def canonical(text: Column) -> Column:
@@ -90,6 +114,35 @@ def find_licenses(docs: DataFrame, licenses: DataFrame | None = None) -> DataFra
     return rows.join(table, "digest", "left").select("doc_id", "digest", "license_id")
 
 
+def find_license_parts(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
+    """One row per doc_id and licence stated in it: doc_id, license_id, n_parts (how many different parts state it).
+
+    Parts are the whole text, its lines, and its paragraphs, which blank lines part; each is looked up as ``find_licenses``
+    does with whole texts. ``licenses`` (license_id, text) default to KNOWN, NOTICES and DIGESTS. A licence is told by its whole
+    text (of several with one digest the least id counts) and by each paragraph of LEAST_WORDS words or more that no other
+    licence has. Parts without a word tell nothing, so a null or empty text gives no row; rows with the same doc_id, or with a
+    null one, are taken together, and a part that two rows hold counts twice; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    own = licenses if licenses is not None else spark.createDataFrame([*KNOWN, *NOTICES], "license_id string, text string")
+    paragraphs = F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), BLANK_LINES))
+    wholes = own.select("license_id", canonical(F.col("text")).alias("form"), F.lit(True).alias("whole"))
+    pieces = own.select("license_id", paragraphs.alias("part")).select("license_id", canonical(F.col("part")).alias("form"), F.lit(False).alias("whole"))
+    forms = wholes.unionAll(pieces.filter(F.size(F.split("form", " ")) >= LEAST_WORDS)).filter("form <> ''")
+    table = forms.select("license_id", "whole", F.sha2("form", 256).alias("digest"))
+    if licenses is None:
+        table = table.unionAll(spark.createDataFrame([(i, True, d) for i, d in DIGESTS], table.schema))
+    least = F.min(F.when(F.col("whole"), F.col("license_id")))
+    table = table.groupBy("digest").agg(least.alias("by_whole"), F.min("license_id").alias("low"), F.max("license_id").alias("high"))
+    table = table.select("digest", F.coalesce("by_whole", F.when(F.col("low") == F.col("high"), F.col("low"))).alias("license_id")).filter("license_id is not null")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    parts = F.array_distinct(F.concat(F.array(text), F.split(text, "\n"), F.split(text, BLANK_LINES)))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.explode_outer(parts).alias("part"))
+    digest = F.coalesce(F.sha2(canonical(F.col("part")), 256), F.lit(""))  # never null, else the join's test for null computes it twice
+    found = rows.select("doc_id", digest.alias("digest")).join(table, "digest")
+    return found.groupBy("doc_id", "license_id").agg(F.count(F.lit(1)).alias("n_parts"))
+
+
 def oracle_sql() -> str:
     """DuckDB's SQL for the rows of ``find_licenses`` over documents."""
 

@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import brute
 import duckdb
 
-from tessera.llm import licenses
+from tessera.llm import licenses, queries
 
 
 def test_forms_match_whatever_case_lines_and_spelling(spark):
@@ -32,3 +34,38 @@ def test_sql(spark):
     con.execute("create table documents as select * from frame")
     docs = brute.documents(spark, [(*r, None, None, None, None, None) for r in rows])
     assert brute.bag(licenses.find_licenses(docs), "doc_id", "digest", "license_id") == brute.Counter(con.execute(licenses.oracle_sql()).fetchall())
+
+
+def test_parts_of_texts(spark):
+    mit = dict(licenses.KNOWN)["MIT"]
+    bare = mit.split("\n\n", 2)[2]
+    folder = Path("/usr/share/common-licenses/GPL-3")
+    texts = [
+        (1, "Prose before.\nReleased under the MIT Licence.\nprose after"),
+        (2, "text\n\n" + bare.replace(" of ", "\nof ") + "\n\nmore text"),
+        (3, "no licence here\n\nMIT License"),
+        (4, "// SPDX-License-Identifier: Apache-2.0\ncode\nLicensed under CC BY-NC 4.0."),
+        (5, None), (6, ""), (None, "x\nLicensed under CC BY-NC 4.0."),
+    ]
+    want = {(1, "MIT-notice"), (2, "MIT"), (4, "Apache-2.0-notice"), (4, "CC-BY-NC-4.0-notice"), (None, "CC-BY-NC-4.0-notice")}
+    if folder.exists():
+        texts.append((8, folder.read_text()))
+        want.add((8, "GPL-3.0"))
+    docs = brute.documents(spark, [(*r, None, None, None, None, None) for r in texts])
+    got = brute.bag(licenses.find_license_parts(docs), "doc_id", "license_id")
+    assert got == brute.Counter(want)
+    assert licenses.find_license_parts(brute.documents(spark, [])).collect() == []
+
+
+def test_parts_of_given_licenses(spark):
+    shared = "one two three four five six seven eight nine"
+    own = spark.createDataFrame([("b", "Some Terms."), ("a", "some terms"), ("c", f"{shared}\n\nx c"), ("d", f"{shared}\n\nx d"), ("e", None)], "license_id string, text string")
+    docs = brute.documents(spark, [(i, t, None, None, None, None, None) for i, t in enumerate(["p\nSOME terms", shared, f"{shared}\n\nX, d"])])
+    assert brute.bag(licenses.find_license_parts(docs, own), "doc_id", "license_id") == brute.Counter([(0, "a"), (2, "d")])
+
+
+def test_parts_query_finds_every_line(spark):
+    lines = {"Released under the MIT License.": "MIT-notice", **{t: i for i, t in licenses.KNOWN if i.endswith("-notice")}}
+    folder = "/root/testdata/sf0.01"
+    want = {(r["doc_id"], lines[x.strip()]) for r in brute.pq.read_table(f"{folder}/documents.parquet").to_pylist() for x in (r["text"] or "").split("\n") if x.strip() in lines}
+    assert want and brute.bag(queries.op9_license_parts(spark, folder), "doc_id", "license_id") == brute.Counter(want)
