@@ -94,6 +94,12 @@ def _suite() -> dict[str, tuple[str, str]]:
             'SELECT customer.c_custkey, orders.o_orderkey FROM customer, orders WHERE customer.c_custkey=orders.o_custkey, customer.c_custkey<"200" ORDERBY customer.c_custkey, orders.o_orderkey',
             "select c_custkey, o_orderkey from customer, orders where c_custkey=o_custkey and c_custkey<200 order by c_custkey, o_orderkey",
         ),
+        "join_theta_whole": ("SELECT customer.c_custkey, supplier.s_suppkey FROM customer, supplier WHERE customer.c_acctbal<supplier.s_acctbal", "select c_custkey, s_suppkey from customer, supplier where c_acctbal<s_acctbal"),
+        "join_filter_value": (f'SELECT customer.c_custkey {chain3}, customer.c_mktsegment="BUILDING"', f"select c_custkey {sql3} and c_mktsegment='BUILDING'"),
+        "orderby_join_whole": (
+            "SELECT customer.c_custkey, orders.o_orderkey FROM customer, orders WHERE customer.c_custkey=orders.o_custkey ORDERBY customer.c_custkey, orders.o_orderkey",
+            "select c_custkey, o_orderkey from customer, orders where c_custkey=o_custkey order by c_custkey, o_orderkey",
+        ),
     }
 
 

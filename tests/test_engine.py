@@ -137,3 +137,10 @@ def test_time_columns(spark, tmp_path):
     path = tmp_path / "out"
     assert e.write("SELECT T.at, T.id FROM T ORDERBY T.id", str(path)) == 2
     assert path.read_text() == "T.at  T.id  \n01:01:01\t1\t\n23:59:59\t2\t\n"
+
+
+def test_whole_joins_read_every_id(spark, duck):
+    for name, column in (("join_theta_whole", "c_custkey"), ("orderby_join_whole", "c_custkey"), ("join_filter_value", "c_custkey")):
+        top = suite.QUERIES[name](spark, SMALL).agg({column: "max"}).first()[0]
+        assert top == duck.execute(f"select max({column}) from ({suite.ORACLE_SQL[name]})").fetchone()[0]
+    assert {r[0] for r in suite.QUERIES["orderby_join_whole"](spark, SMALL).select("c_custkey").collect()} == {r[0] for r in duck.execute("select o_custkey from orders").fetchall()}
