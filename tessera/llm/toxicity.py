@@ -1,9 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Features of a text are its words and their beginnings of 4 to 8 characters. The vocabulary is the features that stand in more
-toxic examples than chance allows; idf comes from the counts over all documents. The examples' vectors lie in an inverted
-index whose postings are cut into blocks of examples; the largest weight of each feature in each block bounds the cosines
-there, and a search opens blocks in order of their bounds until none can reach the k nearest.
+A text's terms are its words, every one that an example holds, and those beginnings of words that tell toxic examples from
+others. A term weighs (1 + log tf) * idf, with idf from the counts over all documents, times a factor of the labelled
+examples: LEAST for a term that tells nothing, more for one that stands in toxic examples oftener than chance allows. No term
+is left out, so every text with a known word has neighbours; the factor only decides which likeness counts most.
+
+The examples' unit vectors lie in an inverted index whose postings are cut into blocks of examples. The largest weight of each
+term in each block bounds the cosines there: a search first opens the blocks with the best bounds, and then those alone that
+can still reach the k nearest. Searches run for a batch of texts at once.
 
 The votes of the nearest, weighted by distance, are calibrated by isotonic regression on the examples, each judged by the
 others. The classifier is fitted on at most EXAMPLES labelled rows, those whose ids hash lowest; everything else covers all.
@@ -11,80 +15,201 @@ others. The classifier is fitted on at most EXAMPLES labelled rows, those whose
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import Memo
-from tessera.llm.common import checkpointed, id_and_text, slices, small_batches
+from tessera.llm import windows
+from tessera.llm.common import checkpointed, id_and_text, slices, small_batches, utf8
 
-#: Bounds of the fit: labelled rows used, and features kept.
-EXAMPLES, FEATURES = 16_384, 4096
-STARTS = (4, 5, 6, 7, 8)
-NEAREST, BLOCK = 15, 64
+#: The bound of the fit: labelled rows used.
+EXAMPLES = 4096
+STARTS = (3, 4, 5, 6, 7, 8)
+NEAREST, BLOCK, BATCH = 15, 256, 64
 SOFTEN = 0.05  #: added to a distance before its inverse weighs a vote
-KEEP = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: The factor of a term that tells nothing about labels, and the standard errors taken off a log odds ratio.
+LEAST, ERRORS = 0.01, 2.5
+TOLD = 5  #: words given as evidence
+SLICE_BYTES = 2 << 20
+#: Bytes that part words: all of ASCII but letters and digits.
+PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_KINDS = np.arange(16, dtype=np.uint64) * windows.STEP  #: set beginnings of each length apart from words
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def words(text: str) -> list[bytes]:
-    return text.lower().encode().translate(KEEP).split()
-
-
-def features(word: bytes) -> list[str]:
-    """The word, and its beginnings marked by a ^."""
-    own = word.decode("utf-8", "replace")
-    return [own, *("^" + own[:n] for n in STARTS if len(own) > n)]
+class Terms:
+    """The words of a slice of texts: where they stand, their hashes, and the distinct ones with their beginnings."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, offsets = utf8(pc.utf8_lower(texts))
+        self.starts, self.ends, self.first = windows.spans(self.data, offsets, PARTS)
+        hashes = windows.words(self.data, self.starts, self.ends, windows.AS_IS)
+        self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.distinct, self.at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
+
+    def beginnings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length of STARTS, the distinct words that are longer, and the hashes of their beginnings."""
+        if not len(self.distinct):
+            return
+        letters = np.flatnonzero((self.data & 0xC0) != 0x80)
+        a, b = self.starts[self.at], self.ends[self.at]
+        first, last = np.searchsorted(letters, a), np.searchsorted(letters, b)
+        for n in STARTS:
+            longer = np.flatnonzero(last - first > n)
+            if len(longer):
+                yield longer, windows.mix(windows.words(self.data, a[longer], letters[first[longer] + n], windows.AS_IS) + _KINDS[n])
+
+    def all_hashes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(text, term) of all words and all their beginnings, each once a text."""
+        pairs = np.unique(np.stack([self.text_of, self.of]), axis=1) if len(self.of) else np.zeros((2, 0), np.int64)
+        yield pairs[0], self.distinct[pairs[1]]
+        place = np.zeros(len(self.distinct), np.int64)
+        for longer, hashes in self.beginnings():
+            inside = np.zeros(len(self.distinct), bool)
+            inside[longer] = True
+            place[longer] = np.arange(len(longer))
+            own = inside[pairs[1]]
+            yield pairs[0][own], hashes[place[pairs[1][own]]]
+
+    def counts(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, how often, the first word that has it) of all terms in ``vocabulary``, sorted hashes, by text."""
+        size = len(vocabulary)
+        if not size or not len(self.of):
+            return (np.zeros(0, np.int64),) * 4
+        texts, terms, words = [], [], []
+        at = np.minimum(np.searchsorted(vocabulary, self.distinct), size - 1)
+        term = np.where(vocabulary[at] == self.distinct, at, -1)
+        own = np.flatnonzero(term[self.of] >= 0)
+        texts.append(self.text_of[own])
+        terms.append(term[self.of[own]])
+        words.append(own)
+        for longer, hashes in self.beginnings():
+            at = np.minimum(np.searchsorted(vocabulary, hashes), size - 1)
+            known = vocabulary[at] == hashes
+            if known.any():
+                term = np.full(len(self.distinct), -1)
+                term[longer[known]] = at[known]
+                own = np.flatnonzero(term[self.of] >= 0)
+                texts.append(self.text_of[own])
+                terms.append(term[self.of[own]])
+                words.append(own)
+        keys, first, n = np.unique(np.concatenate(texts) * size + np.concatenate(terms), return_index=True, return_counts=True)
+        return keys // size, keys % size, n, np.concatenate(words)[first]
+
+    def word(self, i: int) -> str:
+        return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
+
+
+def expanded(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges in a row, and of which range each is."""
+    sizes = end - begin
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes), of
 
 
 class Index:
     """Unit vectors of labelled examples, for exact searches of the nearest by cosine.
 
-    A block's postings are a small matrix, with a row for each feature that the block holds and a column for each example;
-    ``row`` finds them, and ``most`` has the largest weight of each feature in each block.
+    ``vectors`` are (example, term, weight), sorted by example. Postings of terms that many examples hold are rows of a
+    matrix, ``common``; those of the others lie in segments, one for each term and block that has any. ``most`` and
+    ``segment_most`` have the largest weight of a term in a block.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], labels: list[int], ids: list[int], size: int):
-        # like examples stand together, so that few blocks have high bounds
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t)), ids[i]))
-        self.vectors, self.labels, self.ids = [vectors[i] for i in order], np.array([labels[i] for i in order], float), [ids[i] for i in order]
-        n = -(-len(order) // BLOCK)
-        self.row, self.most, self.blocks = np.full((n, size), -1, np.int16), np.zeros((size, n)), []
-        for b in range(n):
-            own = self.vectors[b * BLOCK : (b + 1) * BLOCK]
-            held = sorted({t for v in own for t in v})
-            self.row[b, held] = np.arange(len(held))
-            postings = np.zeros((len(held), BLOCK), np.float32)
-            for i, v in enumerate(own):
-                for t, x in v.items():
-                    postings[self.row[b, t], i] = x
-            self.most[held, b] = postings.max(1)
-            self.blocks.append(postings)
-
-    def nearest(self, query: dict[int, float], k: int = NEAREST, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, place) of the k nearest with a positive cosine; of equal ones, the first places. ``skip`` is left out."""
-        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
-        bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-6:
-                break
-            rows = self.row[b, terms]
-            known = rows >= 0
-            cosines = np.round(weights[known] @ self.blocks[b][rows[known]], 6)
-            least = -best[-1][0] if len(best) == k else 1e-6
-            near = np.flatnonzero(cosines >= least)
-            best = sorted(best + [(-c, b * BLOCK + i) for c, i in zip(cosines[near].tolist(), near.tolist(), strict=True) if b * BLOCK + i != skip])[:k]
-        return [(-c, place) for c, place in best]
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, size: int):
+        n = len(ids)
+        # examples with the same weightiest term stand together, so that bounds of blocks tell them apart
+        heaviest = np.zeros(n, np.int64)
+        order = np.lexsort((term, weight, example))
+        last = np.flatnonzero(np.append(example[order][1:] != example[order][:-1], True)) if len(example) else np.zeros(0, int)
+        heaviest[example[order][last]] = term[order][last]
+        place = np.empty(n, np.int64)
+        ranked = np.lexsort((ids, heaviest))
+        place[ranked] = np.arange(n)
+        self.labels, self.ids, self.n, self.block = labels[ranked].astype(float), ids[ranked], n, BLOCK
+        self.blocks = -(-n // BLOCK)
+        by_term = np.lexsort((place[example], term))
+        self.own = (place[example], term, weight)  # for the fit alone
+        example, term, weight = place[example][by_term], term[by_term], weight[by_term]
+        held = np.bincount(term, minlength=size)
+        dense = np.flatnonzero(held >= max(n / 8, 2))
+        self.row = np.full(size, -1, np.int32)
+        self.row[dense] = np.arange(len(dense))
+        wide = self.row[term] >= 0
+        self.common = np.zeros((len(dense), self.blocks * BLOCK))
+        self.common[self.row[term[wide]], example[wide]] = weight[wide]
+        self.most = self.common.reshape(len(dense), self.blocks, BLOCK).max(2) if n else np.zeros((0, 0))
+        example, term, weight = example[~wide].astype(np.int32), term[~wide], weight[~wide]
+        segment = term * max(1, self.blocks) + example // BLOCK
+        begin = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.zeros(0, np.int64)
+        self.begin = np.append(begin, len(segment))
+        self.segment_block = (segment[begin] % max(1, self.blocks)).astype(np.int32)
+        self.segments = np.searchsorted(segment[begin] // max(1, self.blocks), np.arange(size + 1))
+        self.segment_most = np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0)
+        self.example, self.weight = example, weight
+
+    def _batch(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        blocks, size = self.blocks, self.block
+        wide = self.row[term] >= 0
+        dense = np.zeros((n, len(self.common)))
+        dense[text[wide], self.row[term[wide]]] = weight[wide]
+        text, term, weight = text[~wide], term[~wide], weight[~wide]
+        segment, of = expanded(self.segments[term], self.segments[term + 1])
+        text, weight, block = text[of], weight[of], self.segment_block[segment]
+        bounds = dense @ self.most
+        bounds += np.bincount(text * blocks + block, weight * self.segment_most[segment], n * blocks).reshape(n, blocks)
+        cosines = np.zeros((n, blocks * size))
+
+        def opened(chosen: np.ndarray) -> None:
+            """Adds the cosines of the texts with the blocks that are ``chosen`` for them."""
+            asked = chosen[text, block]
+            s = segment[asked]
+            at, of = expanded(self.begin[s], self.begin[s + 1])
+            cells = np.repeat(text[asked] * (blocks * size), self.begin[s + 1] - self.begin[s]) + self.example[at]
+            found = np.bincount(cells, weight[asked][of] * self.weight[at], cosines.size).reshape(cosines.shape)
+            np.add(cosines, found, out=cosines)
+            for b in np.flatnonzero(chosen.any(0)):
+                rows = np.flatnonzero(chosen[:, b])
+                cosines[rows, b * size : (b + 1) * size] += dense[rows] @ self.common[:, b * size : (b + 1) * size]
+
+        best = np.zeros((n, blocks), bool)
+        best[np.arange(n), np.argmax(bounds, 1)] = True
+        opened(best)
+        if blocks > 1:
+            if skip is not None:
+                cosines[np.arange(n), skip] = 0
+            enough = max(0, blocks * size - k)
+            least = np.partition(cosines, enough, axis=1)[:, enough]
+            opened((bounds > 0) & (bounds >= least[:, None] - 1e-9) & ~best)
+        if skip is not None:
+            cosines[np.arange(n), skip] = 0
+        cosines = np.round(cosines, 9)
+        enough = max(0, cosines.shape[1] - k)
+        least = np.partition(cosines, enough, axis=1)[:, enough]
+        out = []
+        for row, low in zip(cosines, least, strict=True):
+            near = np.flatnonzero((row >= low) & (row > 0))
+            near = near[np.lexsort((near, -row[near]))][:k]
+            out.append((row[near], near))
+        return out
+
+    def nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int = NEAREST, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of ``n`` texts, whose unit vectors are (text, term, weight) sorted by text, the cosines and places of the k
+        nearest with a positive cosine; of equal ones, the first places. ``skip`` has a place to leave out for each text.
+        """
+        out = []
+        for a in range(0, n, BATCH):
+            b = min(n, a + BATCH)
+            i, j = np.searchsorted(text, (a, b))
+            out += self._batch(text[i:j] - a, term[i:j], weight[i:j], b - a, k, skip[a:b] if skip is not None else None)
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,154 +227,176 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Classifier:
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    index: Index | None
-    empty: float  #: the share of toxic ones among examples without any feature
-    curve: tuple[np.ndarray, np.ndarray] | None
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        weights = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        weights[len(self.idf)] = float(self.idf.max())  # one weight that all have, so that the others' size tells in a cosine
-        norm = math.sqrt(sum(x * x for x in weights.values())) or 1.0
-        return {t: float(x / norm) for t, x in weights.items()}
-
-    def votes(self, near: list[tuple[float, int]]) -> float:
-        weights = np.array([1 / (1 - c + SOFTEN) for c, _ in near])
-        return float((weights * self.index.labels[[p for _, p in near]]).sum() / weights.sum())
-
-    def score(self, counts: Counter) -> tuple[float, list[tuple[float, int]]]:
-        """The probability of label 1, and the nearest examples."""
-        near = self.index.nearest(self.vector(counts)) if counts and self.index else []
-        if not near:
-            return self.empty, []
-        return float(np.interp(self.votes(near), *self.curve)), near
+    """``vocabulary`` has the sorted hashes of the terms, and ``weights`` idf times factor of each."""
+
+    vocabulary: np.ndarray
+    weights: np.ndarray
+    empty: float  #: the share of toxic ones among the examples
+    index: Index | None = None
+    curve: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+
+    def unit(self, text: np.ndarray, term: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
+        weight = (1 + np.log(n)) * self.weights[term]
+        norm = np.sqrt(np.bincount(text, weight * weight, texts))
+        return weight / np.maximum(norm, 1e-300)[text]
+
+    def votes(self, cosines: np.ndarray, places: np.ndarray) -> float:
+        weights = 1 / (1 - cosines + SOFTEN)
+        return float((weights * self.index.labels[places]).sum() / weights.sum())
+
+    def score(self, terms: Terms, texts: int) -> Iterator[tuple[float, np.ndarray, np.ndarray, list[str]]]:
+        """For each text the probability of label 1, the ids and cosines of the nearest examples, and its weightiest words."""
+        text, term, n, word = terms.counts(self.vocabulary)
+        weight = self.unit(text, term, n, texts)
+        found = self.index.nearest(text, term, weight, texts) if self.index else [(np.zeros(0), np.zeros(0, int))] * texts
+        bounds = np.searchsorted(text, np.arange(texts + 1))
+        for (cosines, places), a, b in zip(found, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if not len(places):
+                yield self.empty, np.zeros(0, np.int64), cosines, []
+                continue
+            top = a + np.argsort(-weight[a:b], kind="stable")[: 2 * TOLD]
+            told = list(dict.fromkeys(terms.word(word[i]) for i in top.tolist()))[:TOLD]
+            yield float(np.interp(self.votes(cosines, places), *self.curve)), self.index.ids[places], cosines, told
 
     def calibrate(self) -> None:
-        raw, labels = [], []
-        for place, own in enumerate(self.index.vectors):
-            if near := self.index.nearest(own, skip=place):
-                raw.append(self.votes(near))
-                labels.append(self.index.labels[place])
-        self.index.vectors = []  # searches need the blocks alone
-        self.curve = isotonic(np.array(raw), np.array(labels)) if raw else (np.array([0.0, 1.0]), np.array([self.empty, max(self.empty, 0.5)]))
-
-
-def _counted(vocabulary: dict[str, int]):
-    """A function from a text to the counts of its known features."""
-    memo = Memo(lambda w: tuple(i for f in features(w) if (i := vocabulary.get(f)) is not None), 100_000)
-
-    def counts(text: str) -> Counter:
-        return Counter(i for own in map(memo.__getitem__, words(text)) if own for i in own)
-
-    return counts
-
-
-def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each feature of a task's examples, how many toxic and how many other ones hold it."""
-    held: dict[str, list[int]] = {}
-    for batch in slices(batches):
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            for f in {f for w in set(words(text)) for f in features(w)}:
-                held.setdefault(f, [0, 0])[toxic] += 1
-        if len(held) > 500_000:
-            yield _feature_rows(held)
-            held = {}
-    yield _feature_rows(held)
-
-
-def _feature_rows(held: dict[str, list[int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([n[0] for n in held.values()], pa.int64()), pa.array([n[1] for n in held.values()], pa.int64())], ["feature", "other", "toxic"])
+        """Each example is judged by the others."""
+        example, term, weight = self.index.own
+        order = np.argsort(example, kind="stable")
+        found = self.index.nearest(example[order], term[order], weight[order], self.index.n, skip=np.arange(self.index.n))
+        raw = [(self.votes(c, p), y) for (c, p), y in zip(found, self.index.labels, strict=True) if len(p)]
+        if raw:
+            self.curve = isotonic(*map(np.array, zip(*raw, strict=True)))
+        else:
+            self.curve = (np.array([0.0, 1.0]), np.array([self.empty, max(self.empty, 0.5)]))
+        self.index.own = None
+
+
+def factors(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """LEAST, and more by what a term's log odds of toxic examples exceed chance: ERRORS standard errors are taken off."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1))
+    return LEAST + np.maximum(odds - ERRORS * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5)), 0)
+
+
+def _start_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each beginning of words in a slice of examples, how many toxic and how many other ones hold it."""
+    for batch in slices(batches, most=SLICE_BYTES):
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+        terms = Terms(batch.column("text"))
+        for text, hashes in list(terms.all_hashes())[1:]:
+            pairs = np.unique(np.stack([hashes, text.astype(np.uint64)]), axis=1)  # two words may share a beginning
+            own, of = np.unique(pairs[0], return_inverse=True)
+            label = toxic[pairs[1].astype(np.int64)]
+            counts = [pa.array(np.bincount(of, label == x, len(own)).astype(np.int64)) for x in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *counts], ["term", "other", "toxic"])
+
+
+def _words_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each example, as hashes."""
+    for batch in slices(batches, most=SLICE_BYTES):
+        text, hashes = next(Terms(batch.column("text")).all_hashes())
+        bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        own = pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), own], ["toxic", "words"])
 
 
 def examples_of(texts: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, toxic, text) of at most ``most`` labelled documents that are not held out. A toxic label outweighs another."""
+    """(doc_id, toxic, text) of at most ``most`` labelled documents that are not held out. A toxic label outweighs another,
+    and of several texts of an id the least is taken.
+    """
     own = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     own = own.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # at most EXAMPLES pairs of numbers are broadcast
-    return checkpointed(texts.join(F.broadcast(checkpointed(chosen)), "doc_id").dropDuplicates(["doc_id"]))
-
-
-def vocabulary_of(examples: DataFrame, n_toxic: int, n_other: int, most: int) -> list[str]:
-    """The features with the strongest association with toxic examples, and one beyond chance."""
-    n = n_toxic + n_other
-    counts = examples.mapInArrow(_label_counts, "feature string, other bigint, toxic bigint").groupBy("feature").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    share = (F.col("other") + F.col("toxic")) / n
-    z = (F.col("toxic") / max(1, n_toxic) - F.col("other") / max(1, n_other)) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / max(1, n_toxic) + 1 / max(1, n_other)))
-    strong = counts.filter("toxic >= 3").withColumn("z", z).filter(F.col("z") >= min(8.0, 0.3 * math.sqrt(n)))
-    return sorted(r[0] for r in strong.orderBy(F.desc("z"), "feature").limit(most).select("feature").collect())
-
-
-def fit(texts: DataFrame, labels: DataFrame, most: int = EXAMPLES, most_features: int = FEATURES) -> Classifier:
+    return checkpointed(texts.join(F.broadcast(checkpointed(chosen)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+
+
+def vocabulary_of(examples: DataFrame, n_toxic: int, n_other: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of all words of the examples and of the beginnings that tell toxic ones apart, and their factors."""
+    rows = examples.mapInArrow(_words_held, "toxic int, words binary").toArrow()
+    words = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
+    flat, label = np.concatenate([np.zeros(0, np.uint64), *words]), np.repeat(rows.column("toxic").to_numpy(), list(map(len, words)))
+    own, of = np.unique(flat, return_inverse=True)
+    toxic = np.bincount(of, label, len(own))
+    told = factors(toxic, np.bincount(of, minlength=len(own)) - toxic, n_toxic, n_other)
+    starts = examples.mapInArrow(_start_counts, "term bigint, other bigint, toxic bigint").groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("other") + 0.5) / (n_other + 1))
+    strong = starts.filter(odds > ERRORS * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))).toArrow()
+    more, toxic, other = (strong.column(c).to_numpy() for c in ("term", "toxic", "other"))
+    vocabulary, at = np.unique(np.concatenate([own, more.astype(np.int64).view(np.uint64)]), return_index=True)
+    return vocabulary, np.concatenate([told, factors(toxic, other, n_toxic, n_other)])[at]
+
+
+def fit(texts: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Classifier:
+    sc = texts.sparkSession.sparkContext
     examples = examples_of(texts, labels, most)
     by_label = dict(examples.groupBy("toxic").count().collect())
     n_toxic, n_other = by_label.get(1, 0), by_label.get(0, 0)
-    chosen = vocabulary_of(examples, n_toxic, n_other, most_features) if n_toxic else []
-    vocabulary = {f: i for i, f in enumerate(chosen)}
+    if not n_toxic + n_other:
+        return Classifier(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    vocabulary, told = vocabulary_of(examples, n_toxic, n_other)
+    known = sc.broadcast(vocabulary)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In how many of a task's texts each feature stands, and in the last row how many texts there are."""
-        counts, totals, n = _counted(vocabulary), np.zeros(len(vocabulary), np.int64), 0
-        for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                totals[list(counts(text))] += 1
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(totals)), -1], pa.int32()), pa.array([*totals.tolist(), n], pa.int64())], ["feature", "n"])
-
-    df = dict(texts.select("text").mapInArrow(found, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect())
-    idf = np.array([math.log((1 + df.get(-1, 0)) / (1 + df.get(i, 0))) + 1 for i in range(len(vocabulary))])
+        """In how many of a task's texts each term stands, and in the last row how many texts there are."""
+        totals, n = np.zeros(len(known.value), np.int64), 0
+        for batch in slices(batches, most=SLICE_BYTES):
+            totals += np.bincount(Terms(batch.column("text")).counts(known.value)[1], minlength=len(totals))
+            n += batch.num_rows
+        some = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(totals[some], n))], ["term", "n"])
+
+    counted = texts.select("text").mapInArrow(found, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(vocabulary) + 1)
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()  # the number of texts lands in the last place
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _counted(vocabulary)
-        for batch in slices(batches):
-            own = [sorted(counts(t).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.map_(pa.int32(), pa.int32()))], ["doc_id", "toxic", "counts"])
-
-    rows = examples.mapInArrow(held, "doc_id bigint, toxic int, counts map<int,int>").collect()
-    bare = [r["toxic"] for r in rows if not r["counts"]]
-    share = n_toxic / max(1, n_toxic + n_other)
-    model = Classifier(vocabulary, idf, None, (sum(bare) + share) / (len(bare) + 1), None)
-    if full := sorted((r for r in rows if r["counts"]), key=lambda r: r["doc_id"]):
-        model.index = Index([model.vector(Counter(r["counts"])) for r in full], [r["toxic"] for r in full], [r["doc_id"] for r in full], len(idf) + 1)
-        model.calibrate()
+        for batch in slices(batches, most=SLICE_BYTES):
+            text, term, n, _ = Terms(batch.column("text")).counts(known.value)
+            bounds = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            cells = [pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()) for x in (term, n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *cells], ["doc_id", "toxic", "terms", "n"])
+
+    rows = examples.mapInArrow(held, "doc_id bigint, toxic int, terms binary, n binary").orderBy("doc_id").toArrow()
+    terms, counts = ([np.frombuffer(x, np.int32) for x in rows.column(c).to_pylist()] for c in ("terms", "n"))
+    example = np.repeat(np.arange(len(terms)), list(map(len, terms)))
+    term = np.concatenate(terms).astype(np.int64)
+    model = Classifier(vocabulary, idf * told, n_toxic / (n_toxic + n_other))
+    weight = model.unit(example, term, np.concatenate(counts), len(terms))
+    model.index = Index(example, term, weight, rows.column("toxic").to_numpy(), rows.column("doc_id").to_numpy(), len(vocabulary))
+    model.calibrate()
     return model
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep``, score (0 to 1, higher: label 1 likelier), neighbours (doc_ids of the
-    nearest examples) and features (those of the vocabulary that the text holds).
+    nearest examples, the nearest first), cosines (theirs) and features (the weightiest words of the text, at most TOLD).
 
     ``labels`` (doc_id, toxic): rows whose crc32 of doc_id as text leaves 2 modulo 4 are not learnt from, nor are ones with a
-    null; of several labels of a document the largest counts, and labels without a document are left out. A text without any
-    feature, an empty or null one too, has the share of toxic ones among such examples, and no neighbours. With no labels at
-    all every score is 0. Equal texts have equal scores; repeated rows are scored each; ties of distance go to the same
-    examples everywhere. Of an empty table nothing is returned; other columns are ignored. Texts are read whole.
+    null; of several labels of a document the largest counts, of several texts of an id the least, and labels without a
+    document are left out. A text without any word that an example holds, an empty or null one too, has the share of toxic
+    examples, and no neighbours. With no labels at all every score is 0. Equal texts have equal scores; repeated rows are
+    scored each; ties of distance go to the same examples everywhere. Of an empty table nothing is returned; other columns
+    are ignored, whatever they are called. Texts are read whole.
     """
     small_batches(docs.sparkSession)
     texts = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, labels, most))
     rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    out = rows.select(*keep, F.lit(0.0).alias("__score"), F.array().cast("array<bigint>").alias("__near"), F.array().cast("array<string>").alias("__features")).schema
+    lists = (F.array().cast("array<bigint>").alias("__near"), F.array().cast("array<double>").alias("__cosines"), F.array().cast("array<string>").alias("__features"))
+    out = rows.select(*keep, F.lit(0.0).alias("__score"), *lists).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        counts, names, known = _counted(own.vocabulary), list(own.vocabulary), Memo(lambda key: own.score(Counter(dict(key))), 20_000, 400)
-        for batch in slices(batches, "__text"):
-            scores, near, held = [], [], []
-            for text in batch.column("__text").to_pylist():
-                key = tuple(sorted(counts(text).items()))
-                score, nearest = known[key]
-                scores.append(score)
-                near.append([own.index.ids[p] for _, p in nearest])
-                held.append([names[i] for i, _ in key])
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.string()))], [*keep, "__score", "__near", "__features"])
-
-    return rows.mapInArrow(scored, out).withColumnsRenamed({"__score": "score", "__near": "neighbours", "__features": "features"})
+        for batch in slices(batches, "__text", SLICE_BYTES):
+            found = model.value.score(Terms(batch.column("__text")), batch.num_rows)
+            scores, near, cosines, told = zip(*found, strict=True)
+            columns = [pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64())), pa.array(told, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, "__score", "__near", "__cosines", "__features"])
+
+    return rows.mapInArrow(scored, out).withColumnsRenamed({"__score": "score", "__near": "neighbours", "__cosines": "cosines", "__features": "features"})
 
 
 def digests(scored: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from 0.3), from ``score_texts``, with its evidence."""
     doc_id = F.col("doc_id").cast("bigint")
-    return scored.select(doc_id.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "neighbours", "features")
+    return scored.select(doc_id.alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "neighbours", "cosines", "features")
