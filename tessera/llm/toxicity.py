@@ -28,7 +28,7 @@ from tessera.llm import windows
 from tessera.llm.common import checkpointed, id_and_text, slices, small_batches, utf8
 
 #: The bound of the fit: labelled rows used.
-EXAMPLES = 4096
+EXAMPLES = 3072
 STARTS = (3, 4, 5, 6, 7, 8)
 NEAREST, BLOCK, BATCH = 15, 256, 64
 SOFTEN = 0.05  #: added to a distance before its inverse weighs a vote
@@ -59,9 +59,10 @@ class Terms:
         """For each length of STARTS, the distinct words that are longer, and the hashes of their beginnings."""
         if not len(self.distinct):
             return
-        letters = np.flatnonzero((self.data & 0xC0) != 0x80)
+        begins = (self.data & 0xC0) != 0x80
+        letters, before = np.flatnonzero(begins), np.append(0, np.cumsum(begins, dtype=np.int32))
         a, b = self.starts[self.at], self.ends[self.at]
-        first, last = np.searchsorted(letters, a), np.searchsorted(letters, b)
+        first, last = before[a], before[b]
         for n in STARTS:
             longer = np.flatnonzero(last - first > n)
             if len(longer):
@@ -146,7 +147,7 @@ class Index:
         self.common = np.zeros((len(dense), self.blocks * BLOCK))
         self.common[self.row[term[wide]], example[wide]] = weight[wide]
         self.most = self.common.reshape(len(dense), self.blocks, BLOCK).max(2) if n else np.zeros((0, 0))
-        example, term, weight = example[~wide].astype(np.int32), term[~wide], weight[~wide]
+        example, term, weight = example[~wide], term[~wide], weight[~wide]
         segment = term * max(1, self.blocks) + example // BLOCK
         begin = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.zeros(0, np.int64)
         self.begin = np.append(begin, len(segment))
@@ -164,16 +165,19 @@ class Index:
         segment, of = expanded(self.segments[term], self.segments[term + 1])
         text, weight, block = text[of], weight[of], self.segment_block[segment]
         bounds = dense @ self.most
-        bounds += np.bincount(text * blocks + block, weight * self.segment_most[segment], n * blocks).reshape(n, blocks)
+        place = text * blocks + block
+        bounds += np.bincount(place, weight * self.segment_most[segment], n * blocks).reshape(n, blocks)
         cosines = np.zeros((n, blocks * size))
 
         def opened(chosen: np.ndarray) -> None:
             """Adds the cosines of the texts with the blocks that are ``chosen`` for them."""
-            asked = chosen[text, block]
+            asked = np.flatnonzero(chosen.ravel()[place])
             s = segment[asked]
-            at, of = expanded(self.begin[s], self.begin[s + 1])
-            cells = np.repeat(text[asked] * (blocks * size), self.begin[s + 1] - self.begin[s]) + self.example[at]
-            found = np.bincount(cells, weight[asked][of] * self.weight[at], cosines.size).reshape(cosines.shape)
+            begin = self.begin[s]
+            sizes = self.begin[s + 1] - begin
+            at = np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+            cells = np.repeat(text[asked] * (blocks * size), sizes) + self.example[at]
+            found = np.bincount(cells, np.repeat(weight[asked], sizes) * self.weight[at], cosines.size).reshape(cosines.shape)
             np.add(cosines, found, out=cosines)
             for b in np.flatnonzero(chosen.any(0)):
                 rows = np.flatnonzero(chosen[:, b])
