@@ -21,7 +21,7 @@ def small_batches(spark: SparkSession) -> None:
     10,000 would hold them several times, in the executor and in its Python workers.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    if name not in spark.conf.getAll:
         spark.conf.set(name, "1000")
 
 
@@ -49,8 +49,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared_folder(spark)
-    kept = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
+    kept = df.checkpoint(eager=True)
+    try:
+        inner = kept._jdf
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(inner.queryExecution().toRdd(), inner.schema(), False), spark)
+    except AttributeError:  # not a classic session; the copy then carries the estimate
+        return kept
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store; where the session can't reach the store's own methods, it stays."""
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except AttributeError:
+        pass
 
 
 def id_and_text(docs: DataFrame, *more: str) -> DataFrame:

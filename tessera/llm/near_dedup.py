@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import windows
@@ -95,7 +95,8 @@ def _signed(k: int):
             marks = pa.array([mark(s) if len(s) else None for s in own], pa.binary())
             each = iter(low)
             lows = pa.array([next(each).tobytes() if x else None for x in some], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), marks, lists, lows], ["doc_id", "n_shingles", "mark", "keys", "low"])
+            sizes = pa.array([len(s) for s in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), sizes, marks, lists, lows], ["doc_id", "text_hash", "n_shingles", "mark", "keys", "low"])
 
     return signed
 
@@ -234,26 +235,33 @@ def in_cells(rows: DataFrame) -> DataFrame:
     return met.withColumn("cell", cell).drop("m", "q", "part", "other").repartition("cell").sortWithinPartitions("cell")
 
 
+def row() -> Column:
+    """Tells rows apart by id and text, whether there is an id or not."""
+    return F.xxhash64("doc_id", "text_hash")
+
+
 class _Graph:
     """The nodes, and the candidates among them."""
 
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.k, self.percent = k, percent
-        self.texts = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-        self.signed = checkpointed(self.texts.mapInArrow(_signed(k), "doc_id bigint, n_shingles bigint, mark binary, keys array<bigint>, low binary"))
-        nodes = self.signed.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("least"), F.first(F.struct("keys", "low", "n_shingles")).alias("own"))
-        nodes = nodes.select("mark", "least", F.col("own.n_shingles").alias("n"), "own.keys", "own.low")
+        self.texts = id_and_text(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+        self.signed = checkpointed(self.texts.mapInArrow(_signed(k), "doc_id bigint, text_hash bigint, n_shingles bigint, mark binary, keys array<bigint>, low binary"))
+        nodes = self.signed.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("least"), F.min(row()).alias("row"), F.first(F.struct("keys", "low", "n_shingles")).alias("own"))
+        nodes = nodes.select("mark", "least", "row", F.col("own.n_shingles").alias("n"), "own.keys", "own.low")
         self.nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
         keyed = self.nodes.select("node", F.explode("keys").alias("key"))
         shared = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("pivot")).filter("c > 1"))
         self.candidates = checkpointed(keyed.join(shared, "key").filter("node <> pivot"))
 
     def sets(self, needed: DataFrame) -> DataFrame:
-        """(node, own) with the full set of each of the distinct nodes of ``needed``, computed from its text again."""
-        needed = checkpointed(needed.select("node").distinct().join(self.nodes.select("node", "mark", F.col("least").alias("doc_id")), "node"))
+        """(node, own) with the full set of each of the distinct nodes of ``needed``, computed from the text of one of its rows
+        again. It is written, so that skewed joins with it can be split.
+        """
+        needed = checkpointed(needed.select("node").distinct().join(self.nodes.select("node", "mark", "row"), "node"))
         few = needed.count() <= BROADCAST_IDS
-        texts = self.texts.join(F.broadcast(needed) if few else needed, "doc_id").select("node", "mark", "text")
-        return texts.mapInArrow(_full_sets(self.k), "node bigint, own array<bigint>").dropDuplicates(["node"])
+        texts = self.texts.withColumn("row", row()).join(F.broadcast(needed) if few else needed, "row").select("node", "mark", "text")
+        return checkpointed(texts.mapInArrow(_full_sets(self.k), "node bigint, own array<bigint>").dropDuplicates(["node"]))
 
     def pivot_links(self) -> DataFrame:
         """The links (a, b) between the nodes of a key and its pivot."""
@@ -291,19 +299,22 @@ class _Graph:
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, and text_hash (xxhash64 of the text, null as empty,
+    which tells rows with the same doc_id apart).
 
     Documents are linked if the Jaccard similarity of their sets of ``k``-word shingles is ``percent`` / 100 at least, and
     component_id is the smallest doc_id reachable by links. A text of fewer words is one shingle; a null text, or one
-    without words, has none and is linked with nothing. A null doc_id links others but is nobody's smallest; its row has the
-    group's component_id, or none, and is kept. Repeated rows get equal results. Of an empty table nothing is returned.
-    Columns other than doc_id and text are ignored.
+    without words, has none and is linked with nothing. A null doc_id links others, by a near copy as well as by an exact
+    one, but is nobody's smallest; its row has the group's component_id, or none, and is kept. Rows with the same doc_id and
+    different texts are judged each. Repeated rows get equal results. Of an empty table nothing is returned. Columns other
+    than doc_id and text are ignored, whatever they are called.
     """
     graph = _Graph(docs, k, percent)
     roots = graph.solve()
     nodes = graph.nodes.select("node", "mark", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = nodes.join(smallest, "root").select("mark", "component_id")
-    rows = graph.signed.select("doc_id", "n_shingles", "mark").join(groups, "mark", "left")
+    rows = graph.signed.select("doc_id", "text_hash", "n_shingles", "mark").join(groups, "mark", "left")
     component = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash").select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")

@@ -14,6 +14,26 @@ def test_against_all_pairs(spark):
     assert brute.bag(got, *COLUMNS) == brute.jaccard_components(rows)
 
 
+def test_a_near_copy_without_an_id_joins_others(spark):
+    middle = [f"w{i}" for i in range(60)]
+    a, b = ["x", "y", *middle[2:]], [*middle[:-2], "x", "y"]
+    rows = [(1, " ".join(a)), (None, " ".join(middle)), (2, " ".join(b)), (3, " ".join(middle[:30])), (None, " ".join(middle[:29] + ["z"]))]
+    rows += [(7, " ".join(middle)), (7, "another text with words enough"), (9, "another text with words enough")]
+    for own in (rows[:3], rows):
+        own = [(*r, None, None, None, None, None) for r in own]
+        got = near_dedup.near_groups(brute.documents(spark, own))
+        assert brute.bag(got, *COLUMNS) == brute.jaccard_components(own)
+    assert {r["component_id"] for r in near_dedup.near_groups(brute.documents(spark, [(*r, None, None, None, None, None) for r in rows[:3]])).collect()} == {1}
+
+
+def test_columns_with_clashing_names(spark):
+    rows = brute.odd_rows()
+    docs = brute.documents(spark, rows)
+    for name in ("mark", "keys", "low", "n", "least", "row", "root", "kept", "own", "text_hash", "component_id", "pivot", "cell"):
+        docs = docs.withColumn(name, docs["key"])
+    assert brute.bag(near_dedup.near_groups(docs), *COLUMNS) == brute.jaccard_components(rows)
+
+
 def test_chains_and_groups_of_near_copies(spark):
     dice = random.Random(3)
     word = lambda: "".join(dice.choice("abcdefgh") for _ in range(6))

@@ -43,6 +43,29 @@ def test_stages_do_what_plain_versions_do(spark, tmp_path):
     assert secrets.KINDS[0] == "assign"
 
 
+def test_rows_with_one_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    x, near = " ".join(words), " ".join([*words[:-1], "end"])
+    rows = [(3, x, "b"), (5, "other words of its own here", "b"), (5, near, "b"), (3, x, "a"), (3, x, None), (None, x, "c"), (None, x, "c"), (None, None, "c"), (8, None, "d"), (8, "", "c")]
+    docs = brute.documents(spark, [(d, t, lang, "s", 1, None, None) for d, t, lang in rows])
+    got = brute.Counter((r["doc_id"], r["text"], r["lang"]) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert got == brute.Counter([(3, x, None), (5, "other words of its own here", "b"), (None, x, "c"), (None, x, "c"), (None, None, "c"), (8, "", "c"), (8, None, "d")])
+
+
+def test_no_rows_and_other_columns(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in ([], brute.odd_rows()):
+        docs = brute.documents(spark, rows)
+        plain = docs
+        for name in ("score", "spans", "kept", "n", "text_hash", "ids", "n_words", "row"):
+            docs = docs.withColumn(name, docs["key"])
+        for _, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, str(tmp_path))
+            assert brute.Counter(map(str, got.collect())) == brute.Counter(map(str, stage(spark, plain, str(tmp_path)).collect()))
+            assert rows or got.count() == 0
+
+
 @pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_toxic_documents_go(spark, sf):
     labels = {r["doc_id"]: r["toxic"] for r in brute.pq.read_table(f"{sf}/labels.parquet").to_pylist()}
