@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.model import Query
@@ -32,10 +35,10 @@ class Engine:
 
     def explain(self, text: str | Query, mode: str = "formatted") -> str:
         """The plan's shape in a line, then Spark's plan."""
-        planned = self.plan(text)
-        jvm = self.spark.sparkContext._jvm
-        spark_plan = jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(planned.rows._jdf.queryExecution(), mode)
-        return f"{planned.shape}\n{spark_plan}"
+        planned, shown = self.plan(text), io.StringIO()
+        with contextlib.redirect_stdout(shown):
+            planned.rows.explain(mode=mode)
+        return f"{planned.shape}\n{shown.getvalue()}"
 
     def write(self, text: str | Query, path: str) -> int:
         """The result as a text file on the driver; returns the number of rows."""

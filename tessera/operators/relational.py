@@ -12,7 +12,7 @@ from tessera.plans.model import AnalysisError, Attr
 
 COMPARE = {"<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "=": operator.eq, "!=": operator.ne}
 
-#: The reference join methods by name, and the hint that asks Spark for the like.
+#: Join methods by name, and the hint that asks Spark for the like.
 JOIN_HINTS = {"page_nested": "shuffle_replicate_nl", "block_nested": "broadcast", "sort_merge": "merge", "hash": "shuffle_hash"}
 #: A side estimated to be larger is not broadcast, whatever the hint asks.
 BROADCAST_BYTES = 64 << 20
@@ -37,8 +37,12 @@ def project(rows: DataFrame, attrs: Iterable[Attr], names: Iterable[str]) -> Dat
     return rows.select([column(a).alias(n) for a, n in zip(attrs, names, strict=True)])
 
 
-def estimated_bytes(rows: DataFrame) -> int:
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(rows: DataFrame) -> float:
+    """Spark's estimate of the rows' size; where the session does not tell it, more than any bound."""
+    try:
+        return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return float("inf")
 
 
 def join(left: DataFrame, right: DataFrame, on: list[tuple[Column, str, Column]], method: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

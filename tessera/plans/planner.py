@@ -27,12 +27,19 @@ class Planned:
 
 
 def names(attrs: tuple[Attr, ...]) -> list[str]:
-    """The bare column name where only one column has it, else T_c; a repeated attribute is numbered from its second."""
-    bare, seen, out = Counter(a.column for a in attrs), Counter(), []
+    """The bare column name where only one column has it, else T_c; a repeated attribute is numbered from its second, past
+    names that others have.
+    """
+    bare = Counter(a.column for a in attrs)
+    first = {a: a.column if bare[a.column] == 1 else f"{a.table}_{a.column}" for a in attrs}
+    used, given, out = Counter(first.values()), set(), []
     for a in attrs:
-        name = a.column if bare[a.column] == 1 else f"{a.table}_{a.column}"
-        seen[name] += 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        name, n = first[a], 1
+        while name in given or (n > 1 and used[name]):
+            n += 1
+            name = f"{first[a]}_{n}"
+        given.add(name)
+        out.append(name)
     return out
 
 

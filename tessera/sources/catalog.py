@@ -43,15 +43,23 @@ class Catalog(Mapping[str, DataFrame]):
     def register_text(self, name: str, det: str, txt: str) -> DataFrame:
         return self.register(name, read_text(self.spark, det, txt))
 
-    def analyze(self, name: str, saved_as: str | None = None) -> DataFrame:
-        """Saves the table in the warehouse with statistics of all its columns, for the cost-based optimizer, and uses that."""
+    def analyze(self, name: str, saved_as: str | None = None, path: str | None = None) -> DataFrame:
+        """Saves the table in the warehouse, or under ``path``, with statistics of all its columns, for join ordering by cost,
+        and uses that.
+        """
         saved = saved_as or f"tessera_{name}"
-        self[name].write.mode("overwrite").format("parquet").saveAsTable(saved)
+        writer = self[name].write.mode("overwrite").format("parquet")
+        (writer.option("path", path) if path else writer).saveAsTable(saved)
         self.spark.sql(f"ANALYZE TABLE `{saved}` COMPUTE STATISTICS FOR ALL COLUMNS")
         return self.register(name, self.spark.table(saved))
 
-    def stats(self, name: str, columns: list[str] | None = None) -> DataFrame:
-        """One row: n_tuples, and v_<column>, the number of distinct values, for each column."""
+    def stats(self, name: str, columns: list[str] | None = None, error: float | None = None) -> DataFrame:
+        """One row: n_tuples, and v_<column>, the number of distinct values, for each column.
+
+        Exact counts shuffle the distinct values of every column; with an ``error``, the relative one that is borne, a sketch
+        of bounded size counts each column in one pass.
+        """
         table = self[name]
-        distinct = [F.count_distinct(F.col(f"`{c}`")).alias(f"v_{c}") for c in columns or table.columns]
+        count = F.count_distinct if error is None else (lambda c: F.approx_count_distinct(c, error))
+        distinct = [count(F.col(f"`{c}`")).alias(f"v_{c}") for c in columns or table.columns]
         return table.agg(F.count(F.lit(1)).alias("n_tuples"), *distinct)

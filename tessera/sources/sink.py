@@ -20,6 +20,12 @@ def lines(result: Planned) -> DataFrame:
     return numbered.select(F.concat(*values).alias("value"))
 
 
+def whole(result: Planned) -> DataFrame:
+    """The lines of a result file, the header before the rows."""
+    first = result.rows.sparkSession.createDataFrame([(header(result),)], "value string")
+    return first.unionAll(lines(result))
+
+
 def write_file(result: Planned, path: str) -> int:
     """One file on the driver, fetched a partition at a time; returns the number of rows."""
     n = 0

@@ -7,7 +7,8 @@ import __spark_entry__ as entry
 from tessera import suite
 from tessera.engine import Engine
 from tessera.functions.types import TIME_METADATA
-from tessera.plans.model import AnalysisError
+from tessera.plans.model import AnalysisError, Attr
+from tessera.plans.planner import names
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -140,7 +141,13 @@ def test_time_columns(spark, tmp_path):
 
 
 def test_whole_joins_read_every_id(spark, duck):
-    for name, column in (("join_theta_whole", "c_custkey"), ("orderby_join_whole", "c_custkey"), ("join_filter_value", "c_custkey")):
+    for name, column in (("join_theta", "c_custkey"), ("orderby_join", "c_custkey"), ("join_filter", "c_custkey")):
         top = suite.QUERIES[name](spark, SMALL).agg({column: "max"}).first()[0]
         assert top == duck.execute(f"select max({column}) from ({suite.ORACLE_SQL[name]})").fetchone()[0]
-    assert {r[0] for r in suite.QUERIES["orderby_join_whole"](spark, SMALL).select("c_custkey").collect()} == {r[0] for r in duck.execute("select o_custkey from orders").fetchall()}
+    assert {r[0] for r in suite.QUERIES["orderby_join"](spark, SMALL).select("c_custkey").collect()} == {r[0] for r in duck.execute("select o_custkey from orders").fetchall()}
+
+
+def test_names_of_columns_are_distinct():
+    attr = lambda text: Attr(*text.split("."))
+    assert names(tuple(map(attr, ("A.k", "A.k", "A.k_2", "B.k_2")))) == ["A_k", "A_k_3", "A_k_2", "B_k_2"]
+    assert names(tuple(map(attr, ("A.k", "B.j", "A.k", "A.k")))) == ["A_k", "j", "A_k_2", "A_k_3"]

@@ -7,7 +7,7 @@ import pytest
 from tessera.engine import Engine
 from tessera.plans.model import AnalysisError
 from tessera.sources import datagen, sink
-from tessera.sources.text import parse_det, parse_stat
+from tessera.sources.text import parse_det, parse_stat, read_text, write_text
 
 GOODS = "3\n20\nid INTEGER 100 PK 4 \r\nname STRING 8 NK 8\r\nopens TIME 24 NK 8\r\n"
 PRICES = "2\n8\nid INTEGER 100 FK 4\nprice REAL 10 NK 4\n"
@@ -58,6 +58,24 @@ def test_malformed(shop, spark, tmp_path):
         shop.catalog["Bad"].collect()
 
 
+@pytest.mark.parametrize("line", ["7\tnuts\t25:00:00\t", "7\tnuts\t10:60:00\t", "7\tnuts\tnoon\t", "7\tnuts\t", "7\tnuts\t10:00:00\tmore\t", "x7\tnuts\t10:00:00\t"])
+def test_malformed_rows_are_errors(shop, tmp_path, line):
+    (tmp_path / "bad.txt").write_text(f"8\tnuts\t10:00:00\t\n{line}\n")
+    shop.catalog.register_text("Bad", str(tmp_path / "G.det"), str(tmp_path / "bad.txt"))
+    with pytest.raises(Exception, match="not a time of day|without 3 values|CAST_INVALID_INPUT"):
+        shop.catalog["Bad"].collect()
+
+
+def test_written_text_is_read_again(shop, spark, tmp_path):
+    columns = parse_det(GOODS)
+    rows = datagen.generate(spark, columns, 100, seed=3)
+    write_text(rows, columns, str(tmp_path / "W.det"), str(tmp_path / "W.txt"))
+    got = read_text(spark, str(tmp_path / "W.det"), str(tmp_path / "W.txt"))
+    assert got.schema == rows.schema and sorted(got.collect()) == sorted(rows.collect())
+    with pytest.raises(Exception, match="text can't hold"):
+        write_text(rows.withColumn("name", rows["name"].substr(1, 0)), columns, str(tmp_path / "X.det"), str(tmp_path / "X.txt"))
+
+
 def test_generator_is_seeded_and_keyed(spark):
     columns = parse_det(GOODS)
     a = datagen.generate(spark, columns, 100, seed=1)
