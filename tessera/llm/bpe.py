@@ -115,6 +115,15 @@ class Vocabulary:
         direct = getattr(getattr(native, "_core_bpe", None), "encode_single_piece", None)
         return direct or (lambda word: native.encode_ordinary(word.decode()))
 
+    def row_encoder(self):
+        """A function from words in a row, each with a space before it and none inside, to the ids of all."""
+        merged = self.ids[256:]
+        if any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+            return lambda row: np.array([i for word in row.split(b" ")[1:] for i in self.encode(b" " + word)], np.uint32)
+        ranks = {self.pieces[i]: i for i in self.ids}
+        native = tiktoken.Encoding("rows", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+        return lambda row: native.encode_to_numpy(row.decode(), disallowed_special=())
+
     def splitter(self) -> regex.Pattern | None:
         """Matches the special strings, each in a group, so that ``split`` keeps them."""
         if not self.special:

@@ -13,9 +13,9 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 SEED = 20240229
 
 _BYTES = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-AS_IS, LOWERED = _BYTES, _BYTES[_LOWER]
+LOWER = np.arange(256, dtype=np.uint8)  #: each byte, with A-Z lowered
+LOWER[65:91] += 32
+AS_IS, LOWERED = _BYTES, _BYTES[LOWER]
 #: The bytes that part words: space and U+0009 to U+000D.
 PARTS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _POWERS: dict[str, np.ndarray] = {}
