@@ -312,7 +312,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     graph = _Graph(docs, k, percent)
     roots = graph.solve()
     nodes = graph.nodes.select("node", "mark", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = checkpointed(nodes.groupBy("root").agg(F.min("least").alias("component_id")))  # so that a skewed join with it can be split
     groups = nodes.join(smallest, "root").select("mark", "component_id")
     rows = graph.signed.select("doc_id", "text_hash", "n_shingles", "mark").join(groups, "mark", "left")
     component = F.when(F.col("mark").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

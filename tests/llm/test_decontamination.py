@@ -1,8 +1,14 @@
+import pickle
+import random
 import re
+import time
 
 import brute
+import numpy as np
+import pyarrow as pa
 
 from tessera.llm import decontamination, queries
+from tessera.llm.common import utf8
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -46,11 +52,49 @@ def test_against_a_plain_search(spark):
         assert brute.bag(got, *COLUMNS) == want
 
 
-def test_shifts_skip_and_never_miss():
-    search = decontamination.Search(4, {tuple(p.split()): k for k, p in enumerate((b"a b c d", b"c d a b", b"a a a a"))})
-    text = b"a b c d a b x a a a a a y a b c".split()
-    assert search.find(text) == [(0, 0), (2, 1), (7, 2), (8, 2)]
-    assert search.most == 3 and search.shift[(b"a", b"b")] == 0 and search.shift[(b"b", b"c")] == 1
+def hashes_of(*texts):
+    return decontamination.word_hashes(*utf8(pa.array(texts)))
+
+
+def test_shifts_skip_and_never_miss(monkeypatch):
+    patterns = hashes_of("a b c d c d a b a a a a")[2]
+    search = decontamination.Search(4, patterns, np.array([0, 4, 8]))
+    starts, ends, hashes, first = hashes_of("a b c d a b x a a a a a y a b c", "", "d", "c d a b")
+    for stretch in (1, 2, 3, 512):
+        monkeypatch.setattr(decontamination, "STRETCH", stretch)
+        assert sorted(set(search.candidates(hashes, first).tolist()) & {3, 5, 10, 11, 20}) == [3, 5, 10, 11, 20]
+    block = lambda text: search.shift[search.cell(decontamination.pairs(hashes_of(text)[2], np.array([1]), 2))][0]
+    assert search.most == 3 and block("c d") == 0 and block("b c") == 1 and block("q r") == 3
+
+
+def test_many_windows_with_one_end_and_words_of_all_kinds(spark):
+    dice = random.Random(4)
+    items = [(i, " ".join([f"w{dice.randrange(50)}" for _ in range(8)] + ["same", "end"])) for i in range(4000)]
+    items += [(5000 + i, " ".join(["x"] * (10 + i % 3))) for i in range(9)]
+    rows = [(i, " ".join(dice.choice(items)[1] for _ in range(6)), None, None, None, None, None) for i in range(50)]
+    rows += [(100, "x " * 500, None, None, None, None, None), (101, "same end " * 4000, None, None, None, None, None), (102, " ".join(f"w{dice.randrange(50)}" for _ in range(9000)), None, None, None, None, None)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    began = time.perf_counter()
+    got = decontamination.digests(decontamination.find_passages(brute.documents(spark, rows), benchmark))
+    assert brute.bag(got, *COLUMNS) == plain(rows, items)
+    assert time.perf_counter() - began < 60
+
+
+def test_tables_are_a_few_times_the_text():
+    dice = random.Random(5)
+    items = [(str(i), " ".join("".join(dice.choice("abcdefgh") for _ in range(5)) for _ in range(100))) for i in range(2000)]
+    own = decontamination.Benchmark(items, 10)
+    assert len(pickle.dumps(own)) < 12 * sum(len(t) for _, t in items)
+
+
+def test_columns_with_clashing_names(spark):
+    rows = brute.odd_rows() + brute.sample_rows(40)
+    items = items_for(rows)
+    docs = brute.documents(spark, rows)
+    for name in ("spans", "items", "n_words", "start", "end", "item_id"):
+        docs = docs.withColumn(name, docs["key"])
+    got = decontamination.digests(decontamination.find_passages(docs, spark.createDataFrame(items, "item_id bigint, text string")))
+    assert brute.bag(got, *COLUMNS) == plain(rows, items)
 
 
 def test_empty_tables(spark):
