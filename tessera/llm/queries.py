@@ -47,14 +47,15 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(table(spark, sf_dir, "documents"))
 
 
-def op9_license_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find_license_parts(table(spark, sf_dir, "documents"))
+def planted_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of ``op9_licenses`` over known texts as files have them."""
+    return licenses.find_licenses(licenses.planted(spark)).select("doc_id", "license_id")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(sharding.shard(table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_secrets, op4_quality, op5_token_counts, op6_decontamination, op7_near_dedup, op8_bpe_codec, op9_licenses, op9_license_parts, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_secrets, op4_quality, op5_token_counts, op6_decontamination, op7_near_dedup, op8_bpe_codec, op9_licenses, op10_sharding, planted_licenses)}
 
-ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_licenses": licenses.oracle_sql(), "planted_licenses": licenses.planted_sql()}
