@@ -6,7 +6,6 @@ import heapq
 import json
 import unicodedata
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import regex
@@ -155,49 +154,10 @@ class Memo(dict):
         return value
 
 
-class WordTable(dict):
-    """Numbers of the distinct words seen lately; by number, where a word's ids lie in ``flat`` and how many they are.
-
-    Each word is encoded once. Bounded: with more than ``most`` words the table starts anew before the next block.
-    """
-
-    def __init__(self, encode, most: int = 200_000):
-        super().__init__()
-        self.encode, self.most = encode, most
-        self.restart()
-
-    def restart(self) -> None:
-        self.clear()
-        self.waiting: list = []
-        self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def __missing__(self, word) -> int:
-        self.waiting.append(word)
-        number = self[word] = len(self)
-        return number
-
-    def numbers(self, texts: list[list]) -> np.ndarray:
-        """The numbers of the words of a block of texts, in a row."""
-        if len(self) > self.most:
-            self.restart()
-        out = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
-        new = list(map(self.encode, self.waiting))
-        lengths = np.array(list(map(len, new)), np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.int32, int(lengths.sum()))])
-        self.length = np.concatenate([self.length, lengths])
-        self.settled()
-        self.waiting = []
-        return out
-
-    def settled(self) -> None:
-        """Called when ``waiting`` holds the words that have just been encoded."""
-
-    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in ``flat`` the ids of the words stand, in a row, and the bounds of each word in that row."""
-        spread = self.length[numbers]
-        ends = np.concatenate([[0], np.cumsum(spread)])
-        return np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends[:-1], spread), ends
+def places(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of stretches in a row, each from ``start`` on."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
 _VOCABULARIES: dict[int, Vocabulary] = {}

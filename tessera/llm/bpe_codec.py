@@ -1,83 +1,232 @@
 """BPE encoding and decoding by a distinct-word table.
 
-A block of texts is split into words; each distinct word is encoded once, in a table of words and ids; ids go back to the
-texts by the words' positions. Decoding joins ids with the pieces of the vocabulary.
+Texts are split into words in blocks of some megabytes. A block sends its distinct words, each once, to the buckets of their
+hashes; a bucket holds its part of the corpus's table of distinct words, encodes each word once, and answers every block; and a
+block puts the ids where its words stand. Decoding joins ids with the pieces of the vocabulary, whose size is bounded.
 
-The table of a block is kept by its task for the next blocks, bounded in size, rather than being one table of
-the whole corpus: distinct words grow with the corpus, so such a table can't be broadcast, and moving texts to it (or it to
-them) costs more shuffle than the texts have bytes.
+Neither texts nor the table are broadcast. A block's texts go on as the numbers of its words, the frequent ones low, byte plane
+by byte plane and compressed, which takes a third of the bytes of the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import id_and_text, slices
+from tessera.llm.common import checkpointed, id_and_text, release, slices
 
-_CODECS: dict[int, Codec] = {}
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+#: A block has a row for its texts, with bucket -1, and one for its words in each bucket.
+BLOCKS = "block bigint, bucket int, doc_ids array<bigint>, words binary, sizes binary, numbers binary, buckets binary"
+ANSWERS = "block bigint, bucket int, sizes binary, ids binary"
+CODED = "doc_id bigint, ids array<int>, decoded string"
 
 
-class Codec:
-    """A vocabulary with the table of words seen lately."""
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, compressed, after how many there are and the planes they need."""
+    top = int(values.max()) if len(values) else 0
+    width = max(1, -(-top.bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(np.ascontiguousarray(planes.T).tobytes(), "zstd", asbytes=True)
 
-    def __init__(self, source: str, most: int = 200_000):
-        self.vocabulary = bpe.loaded(source)
-        encoder, special = self.vocabulary.encoder(), self.vocabulary.special
-        self.table = bpe.WordTable(lambda word: [special[word]] if word in special else encoder(word.encode()), most)
-        self.splitter, self.marks = self.vocabulary.splitter(), tuple(special)
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text; a special string in it is a word of its own."""
-        if any(mark in text for mark in self.marks):
-            parts = self.splitter.split(text)
-            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else bpe.words(part))]
-        return bpe.words(text)
+def unpacked(cell: bytes) -> np.ndarray:
+    n, width = int.from_bytes(cell[:8], "little"), cell[8]
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(cell[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").reshape(n).astype(np.int64)
+
+
+def packed_bytes(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the texts of a block in a row, and the bounds of each text."""
-        split = list(map(self.words, texts))
-        places, ends = self.table.places(self.table.numbers(split))
-        return self.table.flat[places], ends[np.concatenate([[0], np.cumsum(list(map(len, split)), dtype=np.int64)])]
+def unpacked_bytes(cell: bytes) -> bytes:
+    return pa.decompress(cell[8:], int.from_bytes(cell[:8], "little"), "zstd", asbytes=True)
 
-    def text(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocabulary.pieces.__getitem__, ids)).decode("utf-8", "replace")
 
+class Splitter:
+    """Splits texts into words; a special string in a text is a word of its own."""
 
-def codec(source: str) -> Codec:
-    """The codec of this process."""
-    if (key := hash(source)) not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(source)
-    return _CODECS[key]
+    def __init__(self, vocabulary: bpe.Vocabulary):
+        self.pattern, self.marks = vocabulary.splitter(), tuple(vocabulary.special)
 
+    def words(self, text: str) -> list[str]:
+        if any(mark in text for mark in self.marks):
+            parts = self.pattern.split(text)
+            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else bpe.words(part))]
+        return bpe.words(text)
 
-def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
+
+class Numbered(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+class Block:
+    """The texts of a block as they come: their ids, how many words each has, and the words as numbers."""
+
+    def __init__(self, splitter: Splitter):
+        self.splitter, self.table, self.doc_ids, self.sizes, self.numbers, self.bytes = splitter, Numbered(), [], [], [], 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        words = self.splitter.words(text)
+        self.doc_ids.append(doc_id)
+        self.sizes.append(len(words))
+        self.numbers.append(np.fromiter(map(self.table.__getitem__, words), np.int32, len(words)))
+        self.bytes += len(text) + 1
+
+    def rows(self, block: int, buckets: int) -> pa.RecordBatch:
+        """The texts with words renumbered by how frequent they are, and the words by bucket in the order of their numbers."""
+        flat = np.concatenate([np.zeros(0, np.int32), *self.numbers])
+        order = np.argsort(-np.bincount(flat, minlength=len(self.table)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        spelled = [w.encode() for w in self.table]
+        of = np.array([crc32(w) % buckets for w in spelled], np.int64)[order]
+        words: dict[int, list[bytes]] = {}
+        for bucket, place in zip(of.tolist(), order.tolist(), strict=True):
+            words.setdefault(bucket, []).append(spelled[place])
+        out = [(block, -1, self.doc_ids, None, packed(np.array(self.sizes, np.int64)), packed(rank[flat]), packed(of))]
+        for bucket, own in sorted(words.items()):
+            out.append((block, bucket, None, packed_bytes(b"".join(own)), packed(np.array(list(map(len, own)), np.int64)), None, None))
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4)
+        names = [x.split()[0] for x in BLOCKS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+class Table:
+    """What encodes the distinct words of a bucket."""
+
+    def __init__(self, source: str):
+        vocabulary = bpe.loaded(source)
+        self.special, self.encode = vocabulary.special, vocabulary.encoder()
+
+    def ids(self, word: bytes) -> list[int]:
+        special = self.special.get(word.decode())
+        return self.encode(word) if special is None else [special]
+
+    def answered(self, rows: pa.Table) -> pa.Table:
+        """Each distinct word of a bucket is encoded once; a block gets the ids of its words in their order."""
+        table, numbers = Numbered(), []
+        for words, sizes in zip(rows.column("words").to_pylist(), rows.column("sizes").to_pylist(), strict=True):
+            data, ends = unpacked_bytes(words), np.cumsum(unpacked(sizes)).tolist()
+            own = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            numbers.append(np.fromiter(map(table.__getitem__, own), np.int64, len(own)))
+        coded = list(map(self.ids, table))
+        length = np.array(list(map(len, coded)), np.int64)
+        flat = np.fromiter(chain.from_iterable(coded), np.int64, int(length.sum()))
+        start = np.cumsum(length) - length
+        sizes, ids = [], []
+        for own in numbers:
+            sizes.append(packed(length[own]))
+            ids.append(packed(flat[bpe.places(start[own], length[own])]))
+        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "bucket", "sizes", "ids"])
+
+
+class Pieces:
+    """The bytes of all ids of a vocabulary in a row."""
+
+    def __init__(self, source: str):
+        pieces = bpe.loaded(source).pieces
+        own = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+        self.known = np.array([i in pieces for i in range(len(own))])
+        self.data, self.length = np.frombuffer(b"".join(own), np.uint8), np.array(list(map(len, own)), np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids spell, and the bounds of each id."""
+        if len(ids) and not (ids.min() >= 0 and ids.max() < len(self.known) and self.known[ids].all()):
+            raise ValueError("an id that the vocabulary does not have")
+        length = self.length[ids]
+        return self.data[bpe.places(self.start[ids], length)], np.append(0, np.cumsum(length))
+
+
+def coded_block(texts: pa.Table, answers: pa.Table, pieces: Pieces) -> pa.Table:
+    """The ids of a block's texts, by the positions of their words, and what they spell."""
+    numbers, of = unpacked(texts.column("numbers")[0].as_py()), unpacked(texts.column("buckets")[0].as_py())
+    length, start = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    flat, at = [np.zeros(0, np.int64)], 0
+    by_bucket = np.argsort(of, kind="stable")
+    begin = dict(zip(*(x.tolist() for x in np.unique(of[by_bucket], return_index=True)), strict=True))
+    for bucket, sizes, ids in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids")), strict=True):
+        own = unpacked(sizes)
+        place = by_bucket[begin[bucket] : begin[bucket] + len(own)]
+        length[place], start[place] = own, at + np.cumsum(own) - own
+        flat.append(unpacked(ids))
+        at += len(flat[-1])
+    spread = length[numbers]
+    ids = np.concatenate(flat)[bpe.places(start[numbers], spread)]
+    words = np.append(0, np.cumsum(unpacked(texts.column("sizes")[0].as_py())))
+    bounds = np.append(0, np.cumsum(spread))[words]
+    data, ends = pieces.spelled(ids)
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+    offsets = ends[bounds].astype(np.int32)
+    spelled = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
+    return pa.Table.from_arrays([texts.column("doc_ids").combine_chunks().values if isinstance(texts.column("doc_ids"), pa.ChunkedArray) else texts.column("doc_ids").values, lists, spelled], ["doc_id", "ids", "decoded"])
+
+
+_TOOLS: dict[tuple, object] = {}
+
+
+def tools(kind, source: str):
+    """The one of its kind in this process."""
+    if (key := (kind.__name__, hash(source))) not in _TOOLS:
+        for other in [k for k in _TOOLS if k[0] == kind.__name__]:
+            del _TOOLS[other]
+        _TOOLS[key] = kind(source)
+    return _TOOLS[key]
+
+
+def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (array of int), decoded (the text that the ids spell).
 
     ``path``: a byte-level BPE tokenizer file. Ids are those of the library without begin, end or padding. A null or empty
     text has no ids and decodes to an empty one; a null doc_id stays null; repeated rows are encoded each; columns other
-    than doc_id and text are ignored; no row in gives no row out. Texts are encoded whole.
+    than doc_id and text are ignored, whatever they are called; no row in gives no row out. Texts are encoded whole.
     """
     source = docs.sparkSession.sparkContext.broadcast(bpe.source_of(path))
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(source.value)
-        for batch in slices(batches, most=2 << 20):
-            ids, bounds = own.encode(batch.column("text").to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-            plain = ids.tolist()
-            texts = [own.text(plain[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
-        own.table.restart()
-
     rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return rows.mapInArrow(coded, "doc_id bigint, ids array<int>, decoded string")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    buckets = max(1, -(-size // bucket_bytes))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(bpe.loaded(source.value))
+        block, n, first = Block(splitter), 0, TaskContext.get().partitionId() << 32
+        for batch in slices(batches, most=1 << 20):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if block.bytes and block.bytes + len(text) > block_bytes:
+                    yield block.rows(first + n, buckets)
+                    block, n = Block(splitter), n + 1
+                block.add(doc_id, text)
+        if block.doc_ids:
+            yield block.rows(first + n, buckets)
+        release()
+
+    def answered(table: pa.Table) -> pa.Table:
+        return tools(Table, source.value).answered(table)
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        return coded_block(left, right, tools(Pieces, source.value))
+
+    blocks = checkpointed(rows.mapInArrow(split, BLOCKS))
+    texts = blocks.filter("bucket < 0").select("block", "doc_ids", "sizes", "numbers", "buckets")
+    answers = blocks.filter("bucket >= 0").select("block", "bucket", "words", "sizes").groupBy("bucket").applyInArrow(answered, ANSWERS)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(joined, CODED)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -90,9 +239,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     source = encoded.sparkSession.sparkContext.broadcast(bpe.source_of(path))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(source.value)
+        pieces = tools(Pieces, source.value)
         for batch in batches:
-            texts = [own.text(ids) for ids in batch.column("ids").to_pylist()]
+            texts = [pieces.spelled(np.array(ids, np.int64))[0].tobytes().decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))

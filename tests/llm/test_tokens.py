@@ -1,5 +1,7 @@
 import brute
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,11 +46,50 @@ def test_memos_stay_bounded():
     for word in ("a", "bb", "ccc", "dddd", "eeeee", "a", "bb", "ff", "gg"):
         assert memo[word] == len(word)
         assert len(memo) <= 3 and len(memo.former) <= 3 and "eeeee" not in memo
-    codec = bpe_codec.Codec(bpe.source_of(None), most=5)
-    for text in ("one two three four", "five six seven", "one " * 50, ""):
-        ids, bounds = codec.encode([text, "", text])
-        assert codec.text(ids[: bounds[1]].tolist()) == text == codec.text(ids[bounds[2] :].tolist()) and bounds[1] == bounds[2]
-        assert len(codec.table) <= 5 + 4 and len(codec.table.length) == len(codec.table)
+
+
+def test_numbers_come_back():
+    for values in ([], [0], [255, 256], [3, 1 << 40, 7], list(range(1000))):
+        assert bpe_codec.unpacked(bpe_codec.packed(np.array(values, np.int64))).tolist() == values
+    assert bpe_codec.unpacked_bytes(bpe_codec.packed_bytes(b"")) == b""
+
+
+@pytest.mark.parametrize("block, bucket", [(1, 1 << 30), (3000, 2000), (1 << 30, 500)])
+def test_blocks_and_buckets_of_any_size(spark, library, block, bucket):
+    rows = brute.odd_rows() + brute.sample_rows(40) + [(5000 + i, "", None, None, None, None, None) for i in range(9)]
+    got = bpe_codec.encode_decode(brute.documents(spark, rows), block_bytes=block, bucket_bytes=bucket).collect()
+    want = brute.Counter((r[0], tuple(library.encode(r[1] or "", add_special_tokens=False).ids), r[1] or "") for r in rows)
+    assert brute.Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in got) == want
+
+
+def test_a_distinct_word_is_encoded_once():
+    table, asked = bpe_codec.Table(bpe.source_of(None)), []
+    encode = table.encode
+    table.encode = lambda word: asked.append(word) or encode(word)
+    words = [[b" the", b" cat", "é".encode()], [b" cat", b" the"], [b" the", b"<|endoftext|>"]]
+    cells = [(bpe_codec.packed_bytes(b"".join(w)), bpe_codec.packed(np.array(list(map(len, w))))) for w in words]
+    rows = pa.table([[1, 2, 3], [0, 0, 0], [c[0] for c in cells], [c[1] for c in cells]], ["block", "bucket", "words", "sizes"])
+    out = table.answered(rows)
+    assert sorted(asked) == sorted({w for own in words for w in own} - {b"<|endoftext|>"})
+    ids = [bpe_codec.unpacked(x).tolist() for x in out.column("ids").to_pylist()]
+    assert ids == [[i for w in own for i in table.ids(w)] for own in words]
+
+
+def test_ids_that_are_not_there_are_errors(spark):
+    for ids in ([-1], [999_999_999]):
+        with pytest.raises(Exception, match="does not have"):
+            bpe_codec.decode(spark.createDataFrame([(1, ids)], "doc_id bigint, ids array<int>")).collect()
+    assert bpe_codec.decode(spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")).collect()[0]["text"] == ""
+
+
+def test_columns_with_clashing_names(spark):
+    rows = brute.odd_rows()
+    docs = brute.documents(spark, rows)
+    plain = docs
+    for name in ("ids", "block", "bucket", "decoded", "sizes", "n_tokens", "words"):
+        docs = docs.withColumn(name, docs["key"])
+    for own in (bpe_codec.encode_decode, token_counts.count_tokens):
+        assert brute.Counter(map(str, own(docs).collect())) == brute.Counter(map(str, own(plain).collect()))
 
 
 def test_native_encoder_makes_the_same_merges():
