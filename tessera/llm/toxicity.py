@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import windows
-from tessera.llm.common import checkpointed, id_and_text, slices, small_batches, utf8
+from tessera.llm.common import checkpointed, id_and_text, release, slices, small_batches, utf8
 
 #: The bound of the fit: labelled rows used.
 EXAMPLES = 3072
 STARTS = (3, 4, 5, 6, 7, 8)
-NEAREST, BLOCK, BATCH = 15, 256, 64
+NEAREST, BLOCK, BATCH = 15, 256, 32
 SOFTEN = 0.05  #: added to a distance before its inverse weighs a vote
 #: The factor of a term that tells nothing about labels, and the standard errors taken off a log odds ratio.
 LEAST, ERRORS = 0.01, 2.5
@@ -369,6 +369,7 @@ def fit(texts: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Classifier
     weight = model.unit(example, term, np.concatenate(counts), len(terms))
     model.index = Index(example, term, weight, rows.column("toxic").to_numpy(), rows.column("doc_id").to_numpy(), len(vocabulary))
     model.calibrate()
+    release()
     return model
 
 
