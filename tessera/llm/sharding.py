@@ -1,8 +1,9 @@
 """Sharding by proportional stratified interleaving, in DataFrame operations only.
 
-Rows are ranked within their source in the order of a seeded hash, and all rows are sorted by fractional rank,
-(rank - 1/2) / rows of the source. Any stretch of that order holds each source in proportion, and it is cut into shards of
-equal size, so that the sizes are at most one apart (law ``rows``).
+Rows are ranked within their source in the order of a seeded hash, and all rows are sorted by fractional rank, (rank + offset) /
+rows of the source, with ranks from 0 and an offset below 1 that the seed gives each source, so that sources of like sizes don't
+fall on the same places. Any stretch of that order holds each source in proportion, and it is cut into shards of equal size, so
+that the sizes are at most one apart (law ``rows``).
 
 Ranks come in two steps, so that no task holds a source or the whole order: rows are dealt to equal ranges of their sort
 key, counted by range, and numbered within it after the rows of the ranges before.
@@ -25,6 +26,11 @@ def numbered(rows: DataFrame, by: list[str], cell: str, order: list[str], name:
     return rows.withColumn("__own", own).join(offsets, [*by, cell]).withColumn(name, (F.col("__before") + F.col("__own")).cast("bigint")).drop("__before", "__own")
 
 
+def fraction(key: Column) -> Column:
+    """A hash as a number in [0, 1), in its unsigned order."""
+    return F.shiftrightunsigned(key, 11).cast("double") / F.lit(float(1 << 53))
+
+
 def cells(part: Column, n: int) -> Column:
     """The range of n equal ones in [0, 1) that ``part`` falls in."""
     return F.least(F.floor(part * n), F.lit(n - 1)).cast("bigint")
@@ -35,22 +41,25 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 17, cell_rows: int = 20_
 
     ``size`` is the UTF-8 bytes of the text (null: none) plus 1. Rows with a null source form one source; a null doc_id is
     shuffled like any other; repeated rows each get a place of their own, interchangeably; of an empty table nothing is
-    returned; with fewer rows than shards some shards are empty; other columns are ignored. The shuffle depends on the
-    seed, doc_id and text alone.
+    returned; with fewer rows than shards some shards are empty; other columns are ignored, whatever they are called. The
+    shuffle depends on the seed, on doc_id and text, and for rows that repeat both on their number among these.
     """
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), text)
     rows = rows.select("doc_id", "source", (F.octet_length("text") + 1).cast("bigint").alias("size"), F.crc32("text").alias("text_crc32"))
-    shuffled = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")
+    # equal rows are told apart by a number, so that they don't share a key and a range
+    copies = rows.groupBy("doc_id", "source", "size", "text_crc32").agg(F.count(F.lit(1)).alias("__copies"))
+    rows = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).drop("__copies")
+    shuffled = F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "__copy")
     rows = checkpointed(rows.withColumn("__key", shuffled).withColumn("__source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     total = rows.count()
     n = max(least_cells, -(-total // cell_rows))
-    part = (F.shiftrightunsigned("__key", 11)).cast("double") / F.lit(float(1 << 53))
-    ranked = numbered(rows.withColumn("__cell", cells(part, n)), ["__source"], "__cell", ["__key", "doc_id", "text_crc32"], "__rank")
+    part = fraction(F.col("__key"))
+    ranked = numbered(rows.withColumn("__cell", cells(part, n)), ["__source"], "__cell", ["__key", "doc_id", "text_crc32", "__copy"], "__rank")
     sizes = rows.groupBy("__source").agg(F.count(F.lit(1)).alias("__rows"))
-    ranked = ranked.join(sizes, "__source").withColumn("__part", (F.col("__rank") + 0.5) / F.col("__rows"))
+    ranked = ranked.join(sizes, "__source").withColumn("__part", (F.col("__rank") + fraction(F.xxhash64(F.lit(seed), "__source"))) / F.col("__rows"))
     ranked = ranked.withColumn("__cell", cells(F.col("__part"), n)).withColumn("__all", F.lit(0))
-    order = ["__part", F.xxhash64(F.lit(seed), "__source"), "__source", "__key", "doc_id", "text_crc32"]
+    order = ["__part", F.xxhash64(F.lit(seed), "__source"), "__source", "__key", "doc_id", "text_crc32", "__copy"]
     placed = numbered(ranked, ["__all"], "__cell", order, "__place")
     number = F.expr(f"__place * {shards} div {max(1, total)}")
     start = F.expr(f"(__shard * {total} + {shards - 1}) div {shards}")
