@@ -23,33 +23,42 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe
 from tessera.llm.common import checkpointed, id_and_text, release, slices
 
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 32 << 20
+#: Words whose ids are put in place at once.
+PLACED = 1 << 19
+LEVEL = 6
 #: A block has a row for its texts, with bucket -1, and one for its words in each bucket.
 BLOCKS = "block bigint, bucket int, doc_ids array<bigint>, words binary, sizes binary, numbers binary, buckets binary"
 ANSWERS = "block bigint, bucket int, sizes binary, ids binary"
 CODED = "doc_id bigint, ids array<int>, decoded string"
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Whole numbers byte plane by byte plane, compressed, after how many there are and the planes they need."""
+def _pressed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=LEVEL).compress(data, asbytes=True)
+
+
+def packed(values: np.ndarray, planes: bool = True) -> bytes:
+    """Whole numbers in their least width, compressed, after how many there are and how; ``planes``: byte plane by byte plane,
+    which suits numbers whose high bytes are mostly alike, while neighbouring bytes of ids tell of each other.
+    """
     top = int(values.max()) if len(values) else 0
     width = max(1, -(-top.bit_length() // 8))
-    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(np.ascontiguousarray(planes.T).tobytes(), "zstd", asbytes=True)
+    own = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return len(values).to_bytes(8, "little") + bytes([width, planes]) + _pressed(np.ascontiguousarray(own.T if planes else own).tobytes())
 
 
 def unpacked(cell: bytes) -> np.ndarray:
-    n, width = int.from_bytes(cell[:8], "little"), cell[8]
+    n, width, planes = int.from_bytes(cell[:8], "little"), cell[8], cell[9]
     if not n:
         return np.zeros(0, np.int64)
-    planes = np.frombuffer(pa.decompress(cell[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    own = np.frombuffer(pa.decompress(cell[10:], n * width, "zstd", asbytes=True), np.uint8)
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = planes.T
+    out[:, :width] = own.reshape(width, n).T if planes else own.reshape(n, width)
     return out.view("<u8").reshape(n).astype(np.int64)
 
 
 def packed_bytes(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + _pressed(data)
 
 
 def unpacked_bytes(cell: bytes) -> bytes:
@@ -134,7 +143,7 @@ class Table:
         sizes, ids = [], []
         for own in numbers:
             sizes.append(packed(length[own]))
-            ids.append(packed(flat[bpe.places(start[own], length[own])]))
+            ids.append(packed(flat[bpe.places(start[own], length[own])], planes=False))
         return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "bucket", "sizes", "ids"])
 
 
@@ -169,15 +178,25 @@ def coded_block(texts: pa.Table, answers: pa.Table, pieces: Pieces) -> pa.Table:
         length[place], start[place] = own, at + np.cumsum(own) - own
         flat.append(unpacked(ids))
         at += len(flat[-1])
-    spread = length[numbers]
-    ids = np.concatenate(flat)[bpe.places(start[numbers], spread)]
+    table = np.concatenate(flat)
+    ids, spelled, ends, letters = [np.zeros(0, np.int32)], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    for i in range(0, len(numbers), PLACED):
+        own = numbers[i : i + PLACED]
+        spread = length[own]
+        some = table[bpe.places(start[own], spread)]
+        data, bounds = pieces.spelled(some)
+        bounds_of_words = np.cumsum(spread)
+        ids.append(some.astype(np.int32))
+        spelled.append(data.tobytes())
+        ends.append(ends[-1][-1] + bounds_of_words)
+        letters.append(letters[-1][-1] + bounds[bounds_of_words])
     words = np.append(0, np.cumsum(unpacked(texts.column("sizes")[0].as_py())))
-    bounds = np.append(0, np.cumsum(spread))[words]
-    data, ends = pieces.spelled(ids)
-    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-    offsets = ends[bounds].astype(np.int32)
-    spelled = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
-    return pa.Table.from_arrays([texts.column("doc_ids").combine_chunks().values if isinstance(texts.column("doc_ids"), pa.ChunkedArray) else texts.column("doc_ids").values, lists, spelled], ["doc_id", "ids", "decoded"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends)[words], pa.int32()), pa.array(np.concatenate(ids)))
+    offsets = np.concatenate(letters)[words].astype(np.int32)
+    texts_of = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(spelled)))
+    doc_ids = texts.column("doc_ids")
+    doc_ids = doc_ids.combine_chunks() if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
+    return pa.Table.from_arrays([doc_ids.flatten(), lists, texts_of], ["doc_id", "ids", "decoded"])
 
 
 _TOOLS: dict[tuple, object] = {}

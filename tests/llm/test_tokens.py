@@ -50,7 +50,8 @@ def test_memos_stay_bounded():
 
 def test_numbers_come_back():
     for values in ([], [0], [255, 256], [3, 1 << 40, 7], list(range(1000))):
-        assert bpe_codec.unpacked(bpe_codec.packed(np.array(values, np.int64))).tolist() == values
+        for planes in (True, False):
+            assert bpe_codec.unpacked(bpe_codec.packed(np.array(values, np.int64), planes)).tolist() == values
     assert bpe_codec.unpacked_bytes(bpe_codec.packed_bytes(b"")) == b""
 
 
