@@ -116,9 +116,9 @@ class Benchmark:
             for j in range(m):
                 whole = whole * windows.STEP + self.hashes[starts + j]
             distinct, at, of = np.unique(whole, return_index=True, return_inverse=True)
-            held = np.unique(np.stack([of, np.repeat(owner[own], n)]), axis=1)
-            bounds = np.searchsorted(held[0], np.arange(len(distinct) + 1))
-            self.searches.append((Search(m, self.hashes, starts[at]), starts[at].astype(np.int32), held[1].astype(np.int32), bounds.astype(np.int32)))
+            of, held = np.divmod(np.unique(of * len(self.names) + np.repeat(owner[own], n)), len(self.names))
+            bounds = np.searchsorted(of, np.arange(len(distinct) + 1))
+            self.searches.append((Search(m, self.hashes, starts[at]), starts[at].astype(np.int32), held.astype(np.int32), bounds.astype(np.int32)))
 
     def words(self, start: int, m: int) -> list[bytes]:
         return _split(self.data, self.begin[start], self.end[start + m - 1])
@@ -148,7 +148,7 @@ class Benchmark:
             text = np.searchsorted(first, begin, "right") - 1
             begins.append(begin)
             sizes.append(np.full(len(begin), search.m))
-            for t, w in zip(*(x.tolist() for x in np.unique(np.stack([text, window]), axis=1)), strict=True):
+            for t, w in zip(*(x.tolist() for x in np.divmod(np.unique(text * len(own) + window), len(own))), strict=True):
                 items.setdefault(t, set()).update(held[bounds[w] : bounds[w + 1]].tolist())
         if not begins:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), items

@@ -138,12 +138,16 @@ def training_samples(docs: DataFrame) -> DataFrame:
     return random.unionByName(words.unionByName(names.select(F.explode(F.array(*styles)).alias("sample"))).withColumn("random", F.lit(False)))
 
 
+def codes_of(run: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """``of(a, b)`` for the codes of each two neighbouring characters, in one pass along the run."""
+    neighbours = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), of)
+    return let(F.transform(F.split(run, ""), lambda c: F.ascii(c)), neighbours)
+
+
 def ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """log P(b | a) of random strings less that of ordinary ones, at 128 a + b; the models have 128 ** 2 counts at most."""
-    at = F.explode(F.sequence(F.lit(1), F.char_length("sample") - 1)).alias("i")
-    code = lambda i: F.ascii(F.substring("sample", i, F.lit(1)))
-    pairs = samples.filter(F.char_length("sample") > 1).select("sample", "random", at).select("random", code(F.col("i")).alias("a"), code(F.col("i") + 1).alias("b"))
-    counts = pairs.filter("a < 128 and b < 128").groupBy("random", "a", "b").count().collect()
+    own = samples.filter(F.char_length("sample") > 1).select("random", F.explode(codes_of(F.col("sample"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("pair"))
+    counts = own.select("random", "pair.a", "pair.b").filter("a < 128 and b < 128").groupBy("random", "a", "b").count().collect()
     chars = sum(chr(c).isalnum() or chr(c) in "+/_=-" for c in range(128))
     count: dict = {}
     total: dict = {}
@@ -159,9 +163,7 @@ def ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 def ratio(run: Column, table: list[float]) -> Column:
     """The log-likelihood ratio of an ASCII run."""
     values = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
-    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c))
-    each = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.get(values, a * 128 + b))
-    return F.aggregate(let(codes, each), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(codes_of(run, lambda a, b: F.get(values, a * 128 + b)), F.lit(0.0), lambda s, x: s + x)
 
 
 def find_secrets(docs: DataFrame, samples: DataFrame | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
