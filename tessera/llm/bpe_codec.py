@@ -237,10 +237,14 @@ def encode_decode(docs: DataFrame, path: str | None = None, block_bytes: int = B
         release()
 
     def answered(table: pa.Table) -> pa.Table:
-        return tools(Table, source.value).answered(table)
+        out = tools(Table, source.value).answered(table)
+        release()
+        return out
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        return coded_block(left, right, tools(Pieces, source.value))
+        out = coded_block(left, right, tools(Pieces, source.value))
+        release()
+        return out
 
     blocks = checkpointed(rows.mapInArrow(split, BLOCKS))
     texts = blocks.filter("bucket < 0").select("block", "doc_ids", "sizes", "numbers", "buckets")

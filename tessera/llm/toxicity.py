@@ -35,7 +35,7 @@ SOFTEN = 0.05  #: added to a distance before its inverse weighs a vote
 #: The factor of a term that tells nothing about labels, and the standard errors taken off a log odds ratio.
 LEAST, ERRORS = 0.01, 2.5
 TOLD = 5  #: words given as evidence
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes that part words: all of ASCII but letters and digits.
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _KINDS = np.arange(16, dtype=np.uint64) * windows.STEP  #: set beginnings of each length apart from words
@@ -70,7 +70,7 @@ class Terms:
 
     def all_hashes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(text, term) of all words and all their beginnings, each once a text."""
-        pairs = np.unique(np.stack([self.text_of, self.of]), axis=1) if len(self.of) else np.zeros((2, 0), np.int64)
+        pairs = np.divmod(np.unique(self.text_of * max(1, len(self.distinct)) + self.of), max(1, len(self.distinct)))
         yield pairs[0], self.distinct[pairs[1]]
         place = np.zeros(len(self.distinct), np.int64)
         for longer, hashes in self.beginnings():
@@ -287,9 +287,9 @@ def _start_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
         terms = Terms(batch.column("text"))
         for text, hashes in list(terms.all_hashes())[1:]:
-            pairs = np.unique(np.stack([hashes, text.astype(np.uint64)]), axis=1)  # two words may share a beginning
-            own, of = np.unique(pairs[0], return_inverse=True)
-            label = toxic[pairs[1].astype(np.int64)]
+            own, of = np.unique(hashes, return_inverse=True)
+            once = np.unique(of * batch.num_rows + text)  # two words of a text may share a beginning
+            of, label = once // batch.num_rows, toxic[once % batch.num_rows]
             counts = [pa.array(np.bincount(of, label == x, len(own)).astype(np.int64)) for x in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), *counts], ["term", "other", "toxic"])
 
