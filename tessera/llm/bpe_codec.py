@@ -25,7 +25,7 @@ from tessera.llm.common import checkpointed, id_and_text, release, slices
 
 BLOCK_BYTES, BUCKET_BYTES = 32 << 20, 32 << 20
 #: Words whose ids are put in place at once.
-PLACED = 1 << 19
+PLACED = 1 << 17
 LEVEL = 6
 #: A block has a row for its texts, with bucket -1, and one for its words in each bucket.
 BLOCKS = "block bigint, bucket int, doc_ids array<bigint>, words binary, sizes binary, numbers binary, buckets binary"
@@ -43,18 +43,20 @@ def packed(values: np.ndarray, planes: bool = True) -> bytes:
     """
     top = int(values.max()) if len(values) else 0
     width = max(1, -(-top.bit_length() // 8))
-    own = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    wide = 4 if width <= 4 else 8
+    own = values.astype(f"<u{wide}", copy=False).view(np.uint8).reshape(-1, wide)[:, :width]
     return len(values).to_bytes(8, "little") + bytes([width, planes]) + _pressed(np.ascontiguousarray(own.T if planes else own).tobytes())
 
 
 def unpacked(cell: bytes) -> np.ndarray:
+    """As int32 where that holds them, else int64."""
     n, width, planes = int.from_bytes(cell[:8], "little"), cell[8], cell[9]
-    if not n:
-        return np.zeros(0, np.int64)
-    own = np.frombuffer(pa.decompress(cell[10:], n * width, "zstd", asbytes=True), np.uint8)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = own.reshape(width, n).T if planes else own.reshape(n, width)
-    return out.view("<u8").reshape(n).astype(np.int64)
+    wide = 4 if width <= 3 else 8
+    out = np.zeros((n, wide), np.uint8)
+    if n:
+        own = np.frombuffer(pa.decompress(cell[10:], n * width, "zstd", asbytes=True), np.uint8)
+        out[:, :width] = own.reshape(width, n).T if planes else own.reshape(n, width)
+    return out.view(f"<i{wide}").reshape(n)
 
 
 def packed_bytes(data: bytes) -> bytes:
@@ -103,14 +105,16 @@ class Block:
         """The texts with words renumbered by how frequent they are, and the words by bucket in the order of their numbers."""
         flat = np.concatenate([np.zeros(0, np.int32), *self.numbers])
         order = np.argsort(-np.bincount(flat, minlength=len(self.table)), kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
+        flat = rank[flat]
+        self.numbers = []
         spelled = [w.encode() for w in self.table]
         of = np.array([crc32(w) % buckets for w in spelled], np.int64)[order]
         words: dict[int, list[bytes]] = {}
         for bucket, place in zip(of.tolist(), order.tolist(), strict=True):
             words.setdefault(bucket, []).append(spelled[place])
-        out = [(block, -1, self.doc_ids, None, packed(np.array(self.sizes, np.int64)), packed(rank[flat]), packed(of))]
+        out = [(block, -1, self.doc_ids, None, packed(np.array(self.sizes, np.int64)), packed(flat), packed(of))]
         for bucket, own in sorted(words.items()):
             out.append((block, bucket, None, packed_bytes(b"".join(own)), packed(np.array(list(map(len, own)), np.int64)), None, None))
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4)
@@ -133,7 +137,7 @@ class Table:
         """Each distinct word of a bucket is encoded once; a block gets the ids of its words in their order."""
         table, numbers = Numbered(), []
         for words, sizes in zip(rows.column("words").to_pylist(), rows.column("sizes").to_pylist(), strict=True):
-            data, ends = unpacked_bytes(words), np.cumsum(unpacked(sizes)).tolist()
+            data, ends = unpacked_bytes(words), np.cumsum(unpacked(sizes), dtype=np.int64).tolist()
             own = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             numbers.append(np.fromiter(map(table.__getitem__, own), np.int64, len(own)))
         coded = list(map(self.ids, table))
@@ -169,34 +173,42 @@ def coded_block(texts: pa.Table, answers: pa.Table, pieces: Pieces) -> pa.Table:
     """The ids of a block's texts, by the positions of their words, and what they spell."""
     numbers, of = unpacked(texts.column("numbers")[0].as_py()), unpacked(texts.column("buckets")[0].as_py())
     length, start = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
-    flat, at = [np.zeros(0, np.int64)], 0
+    flat, at = [np.zeros(0, np.int32)], 0
     by_bucket = np.argsort(of, kind="stable")
     begin = dict(zip(*(x.tolist() for x in np.unique(of[by_bucket], return_index=True)), strict=True))
     for bucket, sizes, ids in zip(*(answers.column(c).to_pylist() for c in ("bucket", "sizes", "ids")), strict=True):
-        own = unpacked(sizes)
+        own = unpacked(sizes).astype(np.int64)
         place = by_bucket[begin[bucket] : begin[bucket] + len(own)]
         length[place], start[place] = own, at + np.cumsum(own) - own
-        flat.append(unpacked(ids))
+        flat.append(unpacked(ids).astype(np.int32))
         at += len(flat[-1])
     table = np.concatenate(flat)
-    ids, spelled, ends, letters = [np.zeros(0, np.int32)], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-    for i in range(0, len(numbers), PLACED):
-        own = numbers[i : i + PLACED]
+    often = np.bincount(numbers, minlength=len(of))
+    letters = np.append(0, np.cumsum(pieces.length[table]))
+    ids = np.empty(int(often @ length), np.int32)
+    spelled = np.empty(int(often @ (letters[start + length] - letters[start])), np.uint8)
+    words = np.append(0, np.cumsum(unpacked(texts.column("sizes")[0].as_py()), dtype=np.int64))
+    id_bounds, bounds = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)  # of texts
+    i = j = 0
+    for k in range(0, len(numbers), PLACED):
+        own = numbers[k : k + PLACED]
         spread = length[own]
         some = table[bpe.places(start[own], spread)]
-        data, bounds = pieces.spelled(some)
-        bounds_of_words = np.cumsum(spread)
-        ids.append(some.astype(np.int32))
-        spelled.append(data.tobytes())
-        ends.append(ends[-1][-1] + bounds_of_words)
-        letters.append(letters[-1][-1] + bounds[bounds_of_words])
-    words = np.append(0, np.cumsum(unpacked(texts.column("sizes")[0].as_py())))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends)[words], pa.int32()), pa.array(np.concatenate(ids)))
-    offsets = np.concatenate(letters)[words].astype(np.int32)
-    texts_of = pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(spelled)))
+        data, ends = pieces.spelled(some)
+        up_to = np.append(0, np.cumsum(spread))
+        inside = slice(*np.searchsorted(words, (k + 1, k + len(own) + 1)))
+        id_bounds[inside] = i + up_to[words[inside] - k]
+        bounds[inside] = j + ends[up_to[words[inside] - k]]
+        ids[i : i + len(some)], spelled[j : j + len(data)] = some, data
+        i, j = i + len(some), j + len(data)
+    # texts without words end where the one before does
+    id_bounds, bounds = np.maximum.accumulate(id_bounds), np.maximum.accumulate(bounds)
+    lists = pa.ListArray.from_arrays(pa.array(id_bounds), pa.array(ids))
+    texts_of = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(spelled))
     doc_ids = texts.column("doc_ids")
     doc_ids = doc_ids.combine_chunks() if isinstance(doc_ids, pa.ChunkedArray) else doc_ids
-    return pa.Table.from_arrays([doc_ids.flatten(), lists, texts_of], ["doc_id", "ids", "decoded"])
+    whole = pa.Table.from_arrays([doc_ids.flatten(), lists, texts_of], ["doc_id", "ids", "decoded"])
+    return pa.Table.from_batches(whole.to_batches(max_chunksize=500), whole.schema)
 
 
 _TOOLS: dict[tuple, object] = {}
