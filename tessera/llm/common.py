@@ -89,7 +89,7 @@ def release() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into ones of at most ``most`` bytes of ``name`` each, so that work space stays bounded."""
     for batch in batches:
         if batch.num_rows:

@@ -19,6 +19,7 @@ AS_IS, LOWERED = _BYTES, _BYTES[LOWER]
 #: The bytes that part words: space and U+0009 to U+000D.
 PARTS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _POWERS: dict[str, np.ndarray] = {}
+KEPT = 5 << 18
 
 
 def inverse(odd: int) -> int:
@@ -26,14 +27,17 @@ def inverse(odd: int) -> int:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i for i below n at least."""
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", BASE), ("down", np.uint64(inverse(int(BASE))))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
+    """BASE ** i and BASE ** -i for i below n at least. Those for the longest texts are not kept."""
+    if len(_POWERS.get("up", ())) >= n:
+        return _POWERS["up"], _POWERS["down"]
+    out = []
+    for base in (BASE, np.uint64(inverse(int(BASE)))):
+        steps = np.full(max(n, KEPT), base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps, out=steps))
+    if n <= 4 * KEPT:
+        _POWERS["up"], _POWERS["down"] = out
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
