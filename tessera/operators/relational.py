@@ -16,15 +16,17 @@ COMPARE = {"<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator
 JOIN_HINTS = {"page_nested": "shuffle_replicate_nl", "block_nested": "broadcast", "sort_merge": "merge", "hash": "shuffle_hash"}
 #: A side estimated to be larger is not broadcast, whatever the hint asks.
 BROADCAST_BYTES = 64 << 20
+#: Estimated bytes of the smaller side for each class of pages, the most classes, and the binary logarithm of a page's most rows.
+CLASS_BYTES, MOST_CLASSES, PAGE_BITS = 128, 4096, 16
 
 
 def column(attr: Attr) -> Column:
     return F.col(f"`{attr}`")
 
 
-def scan(table: DataFrame, name: str) -> DataFrame:
-    """The table with each column under its qualified name. A column called ``a`` of T is ``T.a`` from here on."""
-    return table.select([F.col(f"`{c}`").alias(f"{name}.{c}") for c in table.columns])
+def scan(table: DataFrame, name: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """The table, or ``columns`` of it, with each under its qualified name. A column called ``a`` of T is ``T.a`` from here on."""
+    return table.select([F.col(f"`{c}`").alias(f"{name}.{c}") for c in (table.columns if columns is None else columns)])
 
 
 def select(rows: DataFrame, left: Column, op: str, right: Column) -> DataFrame:
@@ -45,16 +47,40 @@ def estimated_bytes(rows: DataFrame) -> float:
         return float("inf")
 
 
-def join(left: DataFrame, right: DataFrame, on: list[tuple[Column, str, Column]], method: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def pages(rows: DataFrame, keys: Iterable[Column], classes: int, side: str) -> DataFrame:
+    """The rows without null keys as pages of rows whose keys hash to the same class."""
+    keys = list(keys)
+    whole = F.struct([F.col(f"`{c}`") for c in rows.columns])
+    for key in keys:
+        rows = rows.filter(key.isNotNull())
+    page = F.shiftright(F.monotonically_increasing_id(), PAGE_BITS)
+    rows = rows.select(F.pmod(F.xxhash64(*keys), F.lit(classes)).alias(f"{side} class"), page.alias("page"), whole.alias("row"))
+    return rows.groupBy(f"{side} class", "page").agg(F.collect_list("row").alias(side)).drop("page")
+
+
+def page_nested(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Column]], condition: Column) -> DataFrame:
+    """Nested loops over all pairs of pages, and over the rows of two pages of the same class."""
+    classes = min(MOST_CLASSES, max(1, int(min(estimated_bytes(left), estimated_bytes(right), CLASS_BYTES * MOST_CLASSES)) // CLASS_BYTES))
+    outer, inner = pages(left, [a for a, _ in keys], classes, "outer"), pages(right, [b for _, b in keys], classes, "inner")
+    pairs = outer.join(inner.hint(JOIN_HINTS["page_nested"]), F.col("outer class") == F.col("inner class"), "inner")
+    rows = pairs.select(F.explode("outer").alias("outer"), "inner").select("outer", F.explode("inner").alias("inner"))
+    fields = [(side, f) for side, schema in (("outer", left.schema), ("inner", right.schema)) for f in schema.fields]
+    return rows.select([F.col(side).getField(f.name).alias(f.name, metadata=f.metadata) for side, f in fields]).filter(condition)
+
+
+def join(
+    left: DataFrame, right: DataFrame, on: list[tuple[Column, str, Column]], method: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, keys: list[tuple[Column, Column]] | None = None
+) -> DataFrame:
     """The inner join where all of ``on`` hold; of an empty ``on`` the cross product.
 
     ``method`` is a hint, one of JOIN_HINTS. ``block_nested`` broadcasts ``right`` only if its estimate is below
-    ``broadcast_bytes``; beyond, Spark chooses.
+    ``broadcast_bytes``; beyond, Spark chooses. ``page_nested`` compares all pairs of rows, or with ``keys``, pairs of a
+    column of ``left`` and one of ``right`` that ``on`` takes for equal and that hash alike, those in pages whose keys may meet.
     """
     if method is not None:
         if method not in JOIN_HINTS:
             raise AnalysisError(f"no join method {method!r}; there are {', '.join(JOIN_HINTS)}")
-        if JOIN_HINTS[method] != "broadcast" or estimated_bytes(right) <= broadcast_bytes:
+        if not (method == "page_nested" and keys) and (JOIN_HINTS[method] != "broadcast" or estimated_bytes(right) <= broadcast_bytes):
             right = right.hint(JOIN_HINTS[method])
     if not on:
         return left.crossJoin(right)
@@ -62,6 +88,8 @@ def join(left: DataFrame, right: DataFrame, on: list[tuple[Column, str, Column]]
     for a, op, b in on:
         one = COMPARE[op](a, b)
         condition = one if condition is None else condition & one
+    if method == "page_nested" and keys:
+        return page_nested(left, right, keys, condition)
     return left.join(right, condition, "inner")
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from tessera.functions.types import kind, literal
@@ -63,6 +63,14 @@ class _Names:
         elif kind(left) != kind(self.field(cond.right)):
             raise AnalysisError(f"{cond}: {kind(left)} does not compare with {kind(self.field(cond.right))}")
 
+    def key(self, left: Attr, right: Attr) -> tuple[Column, Column] | None:
+        """The two columns as ones of a type, so that equal values hash alike; nothing for types that may not."""
+        a, b = self.fields[left], self.fields[right]
+        what = {"INTEGER": "bigint", "TIME": "bigint", "REAL": "double"}.get(kind(a))
+        if what:
+            return relational.column(left).cast(what), relational.column(right).cast(what)
+        return (relational.column(left), relational.column(right)) if a.dataType == b.dataType == T.StringType() else None
+
 
 def plan(query: Query, tables: Mapping[str, DataFrame], join_method: str | None = None, theta: str = "sql") -> Planned:
     """``theta="equality"`` takes every comparison between columns of different tables for ``=``."""
@@ -76,7 +84,8 @@ def plan(query: Query, tables: Mapping[str, DataFrame], join_method: str | None
     for a in query.order_by:
         known.field(a)
 
-    sides = {t: relational.scan(tables[t], t) for t in query.tables}
+    used = {*attrs, *query.order_by, *(a for c in query.where for a in (c.left, c.right) if isinstance(a, Attr))}
+    sides = {t: relational.scan(tables[t], t, [a.column for a in known.fields if a in used and a.table == t]) for t in query.tables}
     shapes = {t: t for t in query.tables}
     for cond in query.where:
         if len(cond.tables()) == 1:
@@ -95,7 +104,8 @@ def plan(query: Query, tables: Mapping[str, DataFrame], join_method: str | None
         on = [c for c in pending if c.tables() <= joined]
         pending = [c for c in pending if c not in on]
         pairs = [(relational.column(c.left), c.op if theta == "sql" else "=", relational.column(c.right)) for c in on]
-        rows = relational.join(rows, sides[t], pairs, join_method)
+        keys = [known.key(*((c.left, c.right) if c.right.table == t else (c.right, c.left))) for c, (_, op, _) in zip(on, pairs, strict=True) if op == "="]
+        rows = relational.join(rows, sides[t], pairs, join_method, keys=[k for k in keys if k])
         shape = f"Join({shape} [{', '.join(map(str, on))}] {shapes[t]})"
     if query.order_by:
         rows, shape = relational.order_by(rows, query.order_by), f"OrderBy({shape} [{', '.join(map(str, query.order_by))}])"

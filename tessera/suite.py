@@ -100,7 +100,7 @@ def _suite() -> dict[str, tuple[str, str]]:
 #: name -> (text in the dialect, SQL)
 SUITE = _suite()
 METHODS = ("page_nested", "block_nested", "sort_merge", "hash")
-#: The page-nested method pairs all rows, so it runs on a join of small sides.
+#: The page-nested method pairs all pages, so it runs on a join of small sides.
 METHOD_QUERY = {m: "join_multi_cond" if m == "page_nested" else "join3_chain" for m in METHODS}
 STATS = "select count(*) as n_tuples, count(distinct c_custkey) as v_custkey, count(distinct c_nationkey) as v_nationkey, count(distinct c_mktsegment) as v_mktsegment from customer"
 RESULT_LINES = "select concat(n_name, chr(9), cast(n_nationkey as varchar), chr(9)) as value from nation"

@@ -61,6 +61,23 @@ def test_join_methods(star, method, node):
     assert bag(rows.collect()) == bag(star.query(suite.SUITE["join2_int"][0]).collect())
 
 
+def test_page_nested_pairs_only_pages_whose_keys_may_meet(spark, monkeypatch):
+    from tessera.operators import relational
+
+    monkeypatch.setattr(relational, "PAGE_BITS", 2)
+    e = Engine(spark)
+    e.catalog.register("A", spark.createDataFrame([(i % 50 if i % 7 else None, f"s{i % 3}", float(i)) for i in range(400)], "k int, s string, v float"))
+    e.catalog.register("B", spark.createDataFrame([(i % 60 if i % 5 else None, f"s{i % 4}", i / 2) for i in range(300)], "k bigint, s string, v double"))
+    e.catalog.register("C", spark.createDataFrame([(i,) for i in range(3)], "id int"))
+    for where in ("A.k=B.k", "B.k=A.k, A.s=B.s", "A.v=B.v", "A.k=B.k, A.v<B.v"):
+        text = f"SELECT A.v, B.s, B.v FROM A, B WHERE {where}"
+        rows = e.query(text, "page_nested")
+        assert "CartesianProduct (outer class" in rows._jdf.queryExecution().executedPlan().toString()
+        assert bag(rows.collect()) == bag(e.query(text).collect()) and rows.count()
+    assert e.query("SELECT A.s FROM A, B, C WHERE A.k=B.k", "page_nested").count() == 3 * e.query("SELECT A.s FROM A, B WHERE A.k=B.k").count()
+    assert e.query("SELECT A.s FROM A, B WHERE A.v<B.v", "page_nested").count() == e.query("SELECT A.s FROM A, B WHERE A.v<B.v").count()
+
+
 def test_broadcast_only_below_its_bound(star):
     from tessera.operators import relational
 
