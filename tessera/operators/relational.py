@@ -19,6 +19,9 @@ BROADCAST_BYTES = 64 << 20
 #: Estimated bytes of the smaller side for each class of pages, the most classes, and the binary logarithm of a page's most rows.
 CLASS_BYTES, MOST_CLASSES, PAGE_BITS = 128, 4096, 16
 
+#: Estimated bytes of one side times those of the other for each task of a join without equality, and the most tasks.
+PAIR_BYTES, MOST_TASKS = 1 << 30, 2000
+
 
 def column(attr: Attr) -> Column:
     return F.col(f"`{attr}`")
@@ -68,6 +71,19 @@ def page_nested(left: DataFrame, right: DataFrame, keys: list[tuple[Column, Colu
     return rows.select([F.col(side).getField(f.name).alias(f.name, metadata=f.metadata) for side, f in fields]).filter(condition)
 
 
+def spread(left: DataFrame, right: DataFrame, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The sides of a join without equality: the smaller one is broadcast, and the other dealt to tasks by the pairs to compare,
+    as a file of few bytes is one task's. If neither is small, they stay as they are.
+    """
+    a, b = estimated_bytes(left), estimated_bytes(right)
+    if min(a, b) > broadcast_bytes:
+        return left, right
+    tasks = int(min(MOST_TASKS, a * b // PAIR_BYTES))
+    small, large = (left, right) if a < b else (right, left)
+    small, large = small.hint("broadcast"), large.repartition(tasks) if tasks > 1 else large
+    return (small, large) if a < b else (large, small)
+
+
 def join(
     left: DataFrame, right: DataFrame, on: list[tuple[Column, str, Column]], method: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, keys: list[tuple[Column, Column]] | None = None
 ) -> DataFrame:
@@ -76,12 +92,15 @@ def join(
     ``method`` is a hint, one of JOIN_HINTS. ``block_nested`` broadcasts ``right`` only if its estimate is below
     ``broadcast_bytes``; beyond, Spark chooses. ``page_nested`` compares all pairs of rows, or with ``keys``, pairs of a
     column of ``left`` and one of ``right`` that ``on`` takes for equal and that hash alike, those in pages whose keys may meet.
+    Without method and equality the pairs are spread over tasks.
     """
     if method is not None:
         if method not in JOIN_HINTS:
             raise AnalysisError(f"no join method {method!r}; there are {', '.join(JOIN_HINTS)}")
         if not (method == "page_nested" and keys) and (JOIN_HINTS[method] != "broadcast" or estimated_bytes(right) <= broadcast_bytes):
             right = right.hint(JOIN_HINTS[method])
+    elif not any(op == "=" for _, op, _ in on):
+        left, right = spread(left, right, broadcast_bytes)
     if not on:
         return left.crossJoin(right)
     condition = None

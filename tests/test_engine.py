@@ -78,6 +78,26 @@ def test_page_nested_pairs_only_pages_whose_keys_may_meet(spark, monkeypatch):
     assert e.query("SELECT A.s FROM A, B WHERE A.v<B.v", "page_nested").count() == e.query("SELECT A.s FROM A, B WHERE A.v<B.v").count()
 
 
+def test_joins_without_equality_are_spread_over_tasks(spark, monkeypatch):
+    from tessera.operators import relational
+
+    monkeypatch.setattr(relational, "PAIR_BYTES", 1 << 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = suite.QUERIES["join_theta"](spark, SMALL)
+        assert "BroadcastNestedLoopJoin" in rows._jdf.queryExecution().executedPlan().toString() and rows.rdd.getNumPartitions() > 1
+        want = bag(rows.collect())
+        e = suite.engine(spark, SMALL)
+        sides = [relational.scan(e.catalog[t], t) for t in ("customer", "supplier")]
+        on = [(relational.column("customer.c_acctbal"), "<", relational.column("supplier.s_acctbal"))]
+        for both in (sides, sides[::-1]):
+            for most in (0, 1 << 30):
+                got = relational.join(*both, on, broadcast_bytes=most)
+                assert bag(got.select("`customer.c_custkey`", "`supplier.s_suppkey`").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_broadcast_only_below_its_bound(star):
     from tessera.operators import relational
 
