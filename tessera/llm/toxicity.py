@@ -53,7 +53,7 @@ class Terms:
         self.starts, self.ends, self.first = windows.spans(self.data, offsets, PARTS)
         hashes = windows.words(self.data, self.starts, self.ends, windows.AS_IS)
         self.text_of = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.distinct, self.at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.distinct, self.at, self.of = windows.distinct(hashes)
 
     def beginnings(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each length of STARTS, the distinct words that are longer, and the hashes of their beginnings."""
@@ -63,10 +63,11 @@ class Terms:
         letters, before = np.flatnonzero(begins), np.append(0, np.cumsum(begins, dtype=np.int32))
         a, b = self.starts[self.at], self.ends[self.at]
         first, last = before[a], before[b]
+        totals = windows.sums(self.data, windows.AS_IS)
         for n in STARTS:
             longer = np.flatnonzero(last - first > n)
             if len(longer):
-                yield longer, windows.mix(windows.words(self.data, a[longer], letters[first[longer] + n], windows.AS_IS) + _KINDS[n])
+                yield longer, windows.mix(windows.between(*totals, a[longer], letters[first[longer] + n]) + _KINDS[n])
 
     def all_hashes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(text, term) of all words and all their beginnings, each once a text."""

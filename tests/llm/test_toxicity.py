@@ -186,3 +186,20 @@ def test_query_on_the_tables(spark, sf, met):
     got = {r["doc_id"]: r for r in queries.op2_toxicity(spark, f"/root/testdata/{sf}").collect()}
     held = [(r["predicted"], labels[d]) for d, r in got.items() if r["held_out"] and d in labels]
     assert len(got) == {"sf0.01": 1000, "sf0.1": 10_000}[sf] and sum(p == t for p, t in held) >= met * len(held)
+
+
+def test_beginnings_share_the_sums_of_a_slice(monkeypatch):
+    texts = ["Beginnings of words, été, \U0001f600\U0001f600\U0001f600\U0001f600 and a", "", "beginning again: 日本語の長い言葉"]
+    powers, calls = toxicity.windows.powers, []
+    monkeypatch.setattr(toxicity.windows, "powers", lambda n: calls.append(n) or powers(n))
+    terms = toxicity.Terms(toxicity.pa.array(texts))
+    got = [(longer.tolist(), hashes) for longer, hashes in terms.beginnings()]
+    assert len(calls) == 2 and len(got) == len(toxicity.STARTS)  # one for the words, and one for all their beginnings
+    words = [terms.word(i) for i in terms.at.tolist()]
+    for n, (longer, hashes) in zip(toxicity.STARTS, got, strict=True):
+        assert longer == [i for i, w in enumerate(words) if len(w) > n]
+        own = [words[i][:n].encode() for i in longer]
+        ends = np.cumsum(list(map(len, own)))
+        data = np.frombuffer(b"".join(own), np.uint8)
+        plain = toxicity.windows.words(data, ends - list(map(len, own)), ends, toxicity.windows.AS_IS)
+        assert np.array_equal(hashes, toxicity.windows.mix(plain + toxicity._KINDS[n]))
