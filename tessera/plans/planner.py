@@ -105,7 +105,8 @@ def plan(query: Query, tables: Mapping[str, DataFrame], join_method: str | None
         pending = [c for c in pending if c not in on]
         pairs = [(relational.column(c.left), c.op if theta == "sql" else "=", relational.column(c.right)) for c in on]
         keys = [known.key(*((c.left, c.right) if c.right.table == t else (c.right, c.left))) for c, (_, op, _) in zip(on, pairs, strict=True) if op == "="]
-        rows = relational.join(rows, sides[t], pairs, join_method, keys=[k for k in keys if k])
+        bounds = [(a, op, b) if c.right.table == t else (b, relational.MIRROR[op], a) for c, (a, op, b) in zip(on, pairs, strict=True) if op in relational.MIRROR]
+        rows = relational.join(rows, sides[t], pairs, join_method, keys=[k for k in keys if k], bound=next(iter(bounds), None))
         shape = f"Join({shape} [{', '.join(map(str, on))}] {shapes[t]})"
     if query.order_by:
         rows, shape = relational.order_by(rows, query.order_by), f"OrderBy({shape} [{', '.join(map(str, query.order_by))}])"

@@ -98,6 +98,61 @@ def test_joins_without_equality_are_spread_over_tasks(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_joins_by_order_are_written_in_few_bytes(spark, monkeypatch, tmp_path):
+    from tessera.operators import relational
+
+    monkeypatch.setattr(relational, "PAIR_BYTES", 1 << 28)
+    suite.QUERIES["join_theta"](spark, "/root/testdata/sf0.1").write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 7_547_704
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 7_547_704 / 3
+
+
+def test_joins_in_runs_give_what_pairs_give(spark, monkeypatch, tmp_path):
+    from tessera.operators import relational
+
+    nan, inf = float("nan"), float("inf")
+    values = [None, nan, inf, -inf, 0.0, -0.0, 1.5, 2.0, 2.0, 2.0, 3.0, 7.0]
+    e = Engine(spark)
+    at = suite.F.col("i").alias("at", metadata=TIME_METADATA)
+    for name, rows, columns in (
+        ("A", [(i, v, i % 5) for i, v in enumerate(values * 3)], "i int, v double, n int"),
+        ("B", [(i, v, i % 3) for i, v in enumerate([*values[::-1], 4.0])], "j bigint, w float, m bigint"),
+        ("C", [(i, i % 3) for i in range(7)], "k int, o smallint"),
+        ("S", [(i, "x" * i) for i in range(7)], "z int, s string"),
+    ):
+        rows = spark.createDataFrame(rows, columns).coalesce(2)
+        (rows.select("*", at) if name == "A" else rows).write.parquet(str(tmp_path / name))  # with a known size
+        e.catalog.register_parquet(name, str(tmp_path / name))
+    queries = [f"SELECT * FROM {tables} WHERE {cond}" for op in ("<", "<=", ">", ">=") for tables in ("A, B", "B, A") for cond in (f"A.v{op}B.w", f"B.w{op}A.v", f"A.n!=B.m, A.n{op}B.m, B.w{op}A.v")]
+    queries += ["SELECT A.at, C.k FROM A, B, C WHERE A.v<B.w, B.m>C.k, A.n<=C.o", "SELECT B.j, S.s FROM B, S WHERE B.j>S.z", 'SELECT A.i, B.j FROM A, B WHERE A.v<B.w, A.i<"0"', "SELECT A.n, B.m FROM A, B WHERE A.n<B.m"]
+    monkeypatch.setattr(relational, "MOST_TASKS", 1)
+    plain = [e.query(q) for q in queries]
+    assert not any(" least" in q._jdf.queryExecution().analyzed().toString() for q in plain)
+    want = [bag([tuple(map(str, r)) for r in q.collect()]) for q in plain]
+    monkeypatch.setattr(relational, "PAIR_BYTES", 1 << 4)
+    monkeypatch.setattr(relational, "MOST_TASKS", 3)
+    monkeypatch.setattr(relational, "RUN_BITS", 2)
+    for text, before, rows in zip(queries, plain, want, strict=True):
+        got = e.query(text)
+        assert (" least" in got._jdf.queryExecution().analyzed().toString()) == ("S.s" not in text), text
+        assert got.schema == before.schema and [f.metadata for f in got.schema] == [f.metadata for f in before.schema], text
+        assert bag([tuple(map(str, r)) for r in got.collect()]) == rows, text
+
+
+def test_runs_of_one_key_are_dealt_to_tasks_and_made_one_by_one(spark, monkeypatch):
+    from tessera.operators import relational
+
+    monkeypatch.setattr(relational, "PAIR_BYTES", 1 << 4)
+    monkeypatch.setattr(relational, "MOST_TASKS", 4)
+    e = Engine(spark)
+    e.catalog.register("A", spark.range(8192).selectExpr("id as i", "1 as v"))
+    e.catalog.register("B", spark.range(300).selectExpr("id as j", "2 as w"))
+    rows = e.query("SELECT A.i, B.j FROM A, B WHERE A.v<B.w")
+    assert "filter(" in rows._jdf.queryExecution().optimizedPlan().toString()  # not compiled with the join
+    counts = [r[1] for r in rows.groupBy(suite.F.spark_partition_id()).count().collect()]
+    assert sum(counts) == 8192 * 300 and max(counts) < sum(counts) / 2
+
+
 def test_broadcast_only_below_its_bound(star):
     from tessera.operators import relational
 
